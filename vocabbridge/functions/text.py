@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.strip() removes.  (?U) makes \s the
-# Unicode White_Space property; U+001C..U+001F are the four it does not hold.
-STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The characters Python's str.strip() removes.
+STRIP_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # The two built-in word tokenisers.
 WORDS = r"\S+"
@@ -16,7 +19,7 @@ WORDS_AND_MARKS = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 def strip(text: Column) -> Column:
     """Trim all Unicode white space; a null counts as the empty string."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), STRIP_PATTERN, "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(STRIP_CHARS))
 
 
 def words(text: Column, pattern: str) -> Column:

@@ -87,7 +87,10 @@ def lookup_ids(
     if table_bytes(mapping) <= limit_bytes:
         return _lookup_in_batches(framed, mapping, out, missing)
 
-    elements = framed.select(row_key, F.posexplode("_items").alias("_pos", "_key"))
+    # An outer explode: the plain one would add a filter that computes the array again.
+    elements = framed.select(row_key, F.posexplode_outer("_items").alias("_pos", "_key")).where(
+        F.col("_key").isNotNull()
+    )
     found = lookup_join(elements, mapping, "_key", [row_key, "_pos"], "left", limit_bytes)
     if missing is not None:
         found = found.withColumn("_value", F.coalesce("_value", F.lit(missing)))

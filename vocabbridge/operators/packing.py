@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -132,7 +134,7 @@ def assign_buffers(rows: DataFrame, length: str, limit: float, span: int = 64) -
             moving = step[last] < len(pos)
         return pos[last], last
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx", ignore_index=True)
         pos, rows_here = pdf["pos"].to_numpy(), pdf["row_idx"].to_numpy()
         stop = int(np.searchsorted(pos, key[0] * reach * span + reach)) + 1
@@ -167,7 +169,7 @@ def assign_buffers(rows: DataFrame, length: str, limit: float, span: int = 64) -
         chain, "stretch bigint, enter double, open_row bigint"
     )
 
-    def number(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def number(key: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("row_idx", ignore_index=True)
         pos, rows_here = left["pos"].to_numpy(), left["row_idx"].to_numpy()
         buffer = np.full(len(pos), right["open_row"].iat[0])

@@ -13,8 +13,10 @@ MIN_COUNT = 5
 
 def token_counts(df: DataFrame, tokens: Column, min_count: int = 1) -> DataFrame:
     """Occurrences per token; ``tokens`` is an array column of words or ids."""
+    # An outer explode: the plain one would add a filter that computes the array again.
     counts = (
-        df.select(F.explode(tokens).alias("token"))
+        df.select(F.explode_outer(tokens).alias("token"))
+        .where(F.col("token").isNotNull())
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
