@@ -31,7 +31,7 @@ def stage(spark: SparkSession, folder: str, name: str, build: Callable):
 def prepared(spark, folder) -> DataFrame:
     return stage(
         spark, folder, "prepared",
-        lambda: stored(stages.prepare(table(spark, folder, "documents")), "prepared"),
+        lambda: stages.prepare(table(spark, folder, "documents")),
     )
 
 

@@ -63,12 +63,13 @@ def initial_parameters(spark, folder):
 def fit_loss(spark, folder):
     ids = _ids(spark, folder)
     params = stored(G.initial_parameters(ids, DIMS), "parameters")
-    partial = G.gradients(G.blocked(_cooc(spark, folder), 3), params, 3)
+    cooc = _cooc(spark, folder)
+    partial = G.gradients(G.blocked(cooc, 3, cooc.count()), params, 3)
     return G.loss(partial).select(F.round("loss", 3).alias("loss"))
 
 
 def fit_one_pass(spark, folder):
-    params = G.fit(_cooc(spark, folder), _ids(spark, folder), DIMS, passes=1, block_ids=4096)
+    params = G.fit(_cooc(spark, folder), _ids(spark, folder), DIMS, passes=1, block_pairs=100_000)
     return plain(params.select("side", "id", F.posexplode("value").alias("d", "value")))
 
 

@@ -23,6 +23,19 @@ def as_column(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
+def as_bytes(matrix: np.ndarray) -> pa.BinaryArray:
+    """A 2-D array as one binary value per row."""
+    rows, width = matrix.shape
+    offsets = np.arange(rows + 1, dtype=np.int32) * np.int32(width * matrix.itemsize)
+    data = pa.py_buffer(np.ascontiguousarray(matrix))
+    return pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), data])
+
+
+def from_bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """Inverse of :func:`as_bytes`, for doubles."""
+    return np.array([np.frombuffer(row.as_buffer()) for row in column])
+
+
 def block_of(key: Column, blocks: int) -> Column:
     """Block number of a row key; hashing keeps the blocks about equal."""
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
