@@ -91,14 +91,17 @@ def relative_vectors(
 
 def _relative_in_blocks(vectors: DataFrame, chosen: DataFrame, block_rows: int) -> DataFrame:
     def products(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        n, m = left.num_rows, right.num_rows
-        rep = as_matrix(left.column("vector"), 0) @ as_matrix(right.column("_pivot"), 0).T if n and m else np.zeros((0, 1))
-        ranks = np.tile(right.column("rank").to_numpy(), (len(rep), 1))
+        if right.num_rows == 0:
+            left = left.slice(0, 0)
+        rep = np.zeros((0, 1))
+        if left.num_rows:
+            rep = as_matrix(left.column("vector"), 0) @ as_matrix(right.column("_pivot"), 0).T
+        ranks = np.resize(right.column("rank").to_numpy(), rep.shape).astype(np.int32)
         return pa.table(
             {
-                "id": left.column("id").slice(0, len(rep)),
-                "ord": left.column("ord").slice(0, len(rep)),
-                "ranks": as_column(ranks.astype(np.int32).reshape(len(rep), -1)),
+                "id": left.column("id"),
+                "ord": left.column("ord"),
+                "ranks": as_column(ranks),
                 "part": as_column(rep),
             }
         )
