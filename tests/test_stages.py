@@ -33,9 +33,9 @@ def test_renamed_copy_aligns_to_itself(spark):
     options = {"window": 4, "min_count": 1, "dims": 12, "passes": 40, "rate": 0.2}
     alignment = stages.align_vocabularies(
         gold,
-        stages.fit_vectors(target, **options),
-        stages.fit_vectors(source, **options),
-        24, 24, pivots=12,
+        stages.fit_vectors(target, seed=1, **options),
+        stages.fit_vectors(source, seed=2, **options),
+        24, 24, pivots=12, metric="cosine",
     )
     right = alignment.join(truth.withColumnRenamed("src_id", "true_id"), "tgt_id").where("src_id = true_id")
     assert right.count() == 24

@@ -69,7 +69,7 @@ def fit_loss(spark, folder):
 
 
 def fit_one_pass(spark, folder):
-    params = G.fit(_cooc(spark, folder), _ids(spark, folder), DIMS, passes=1, block_pairs=100_000)
+    params = G.fit(_cooc(spark, folder), _ids(spark, folder), DIMS, passes=1, rate=0.05, block_pairs=100_000)
     return plain(params.select("side", "id", F.posexplode("value").alias("d", "value")))
 
 

@@ -86,16 +86,21 @@ def align_vocabularies(
     source_size: int,
     pivots: int = align.PIVOTS,
     relative: bool = True,
+    metric: str = "dot",
     seed: int | str = 0,
 ) -> DataFrame:
-    """A source id for every target id."""
+    """A source id for every target id.
+
+    Relative vectors are compared by inner product, as the workload does; ``cosine``
+    keeps long vectors from winning everywhere.
+    """
     target = align.usable_vectors(target_vectors)
     source = align.usable_vectors(source_vectors)
     if relative:
         chosen = stored(align.choose_pivots(gold, target, source, pivots, seed), "pivots")
         target = align.relative_vectors(target, chosen, "tgt_id")
         source = align.relative_vectors(source, chosen, "src_id")
-    best = align.nearest(target, source)
+    best = align.nearest(target, source, metric=metric)
     return align.resolve(target_size, source_size, gold, best, gold.sparkSession, seed)
 
 
