@@ -73,17 +73,19 @@ def lookup_ids(
     missing: int | None = None,
     row_key: str = "row_idx",
     limit_bytes: int = BROADCAST_BYTES,
+    drop: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Replace each element of the array ``items`` by its value in ``mapping``.
+    """Add ``out``: the array ``items`` with each element replaced by its value in ``mapping``.
 
     ``mapping`` has two columns, key and int value, keys unique.  Elements without a
-    value become ``missing``, or are left out if that is None.  A mapping measured to
+    value become ``missing``, or are left out if that is None.  Columns named in
+    ``drop`` end here, so they are not sent to the workers.  A mapping measured to
     be small goes to the workers, which resolve whole Arrow batches: no shuffle.  A
     larger one is joined element by element and the arrays are put together again.
     """
     key, value = mapping.columns
     mapping = mapping.select(F.col(key).alias("_key"), F.col(value).cast("int").alias("_value"))
-    framed = df.withColumn("_items", items)
+    framed = df.withColumn("_items", items).drop(*drop)
     if table_bytes(mapping) <= limit_bytes:
         return _lookup_in_batches(framed, mapping, out, missing)
 

@@ -42,7 +42,7 @@ def cut_blocks(
     row then cuts itself where the blocks end, so what is put together in memory is
     one block and never a whole group.
     """
-    by_group = W.partitionBy(*keys).orderBy(order)
+    by_group = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     length = F.size("input_ids")
     placed = (
         tokens.select(*keys, order, "input_ids")

@@ -48,7 +48,7 @@ def running_before(
     bases = totals.select(
         *keys, "_span", (F.sum("_total").over(over_spans) - F.col("_total")).alias("_base")
     )
-    inside = W.partitionBy(*keys, "_span").orderBy(index)
+    inside = W.partitionBy(*keys, "_span").orderBy(index).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         grouped.withColumn(name, F.sum(value).over(inside) - F.col(value))
         .join(bases, [*keys, "_span"])

@@ -42,7 +42,8 @@ def tokenise(
         unknown,
         row_key,
         limit_bytes,
-    ).drop(column)
+        drop=(column,),
+    )
     if bos is not None or eos is not None:
         ids = ids.withColumn("input_ids", with_special_tokens(F.col("input_ids"), bos, eos))
     return typed_tokens(ids)

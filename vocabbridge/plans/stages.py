@@ -98,8 +98,8 @@ def align_vocabularies(
     source = align.usable_vectors(source_vectors)
     if relative:
         chosen = stored(align.choose_pivots(gold, target, source, pivots, seed), "pivots")
-        target = align.relative_vectors(target, chosen, "tgt_id")
-        source = align.relative_vectors(source, chosen, "src_id")
+        target = stored(align.relative_vectors(target, chosen, "tgt_id"), "relative")
+        source = stored(align.relative_vectors(source, chosen, "src_id"), "relative")
     best = align.nearest(target, source, metric=metric)
     return align.resolve(target_size, source_size, gold, best, gold.sparkSession, seed)
 
