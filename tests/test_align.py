@@ -19,7 +19,7 @@ def gold_table(spark, rows):
 
 
 def test_zero_vectors_and_unknown_tokens_are_not_usable(spark):
-    df = vectors(spark, [("<unk>", [1, 0]), ("unk", [1, 0]), (4, [0, 0]), (5, [3, 4])])
+    df = vectors(spark, [("<unk>", [1, 0]), ("unk", [1, 0]), (4, [0, 0]), ("<pad>", [1, 1]), (5, [3, 4])])
     got = A.usable_vectors(df).collect()
     assert [(r.id, r.vector) for r in got] == [(5, [0.6, 0.8])]
 

@@ -20,7 +20,7 @@ def corpus(spark, n=400, seed=4):
     return spark.createDataFrame(rows, "doc_id bigint, text string")
 
 
-def test_renamed_copy_aligns_to_itself(spark):
+def test_renamed_copy_aligns_to_itself(spark, few_partitions):
     prepared = stages.prepare(corpus(spark))
     source = stages.tokenise_source(prepared)
     renamed = prepared.withColumn("text", F.translate("text", "w0123456789", "vabcdefghij"))

@@ -51,7 +51,7 @@ def packed_blocks_sharded(spark, folder):
 
 def packed_blocks_with_end(spark, folder):
     rows = source(spark, folder).rows.select("split", "split_idx", "input_ids")
-    blocks = P.pack(P.append_end(rows, EOS), 1 << 20, batch_rows=50)
+    blocks = P.pack(P.append_end(rows, EOS), BLOCK, batch_rows=50)
     return _lines(blocks, "split", "shard", "batch", "block")
 
 
@@ -127,7 +127,7 @@ def _cut_sql(keys: str, tok: str, block: int, keep: str, order: str = "row_idx")
 
 _KEEP_SHORT = " OR (block = 0 AND split <> 'train')"
 _T = f"""WITH {CORPUS},{TGT},
-  batched AS (SELECT *, 0 AS shard, split_idx // 1000 AS batch FROM tgt_tok),
+  batched AS (SELECT *, 0::BIGINT AS shard, split_idx // 1000 AS batch FROM tgt_tok),
   {_cut_sql('split, shard, batch', 'batched', BLOCK, _KEEP_SHORT, 'split_idx')}"""
 
 _BUFFERS = f"""chars AS (SELECT row_idx, length(text) AS n_chars FROM corpus),
@@ -156,10 +156,10 @@ SQL = {
         SELECT split, shard, batch, block, n_ids, ids_md5 FROM cut_blocks""",
     "packed_blocks_with_end": f"""WITH {CORPUS},{SRC},
         batched AS (
-          SELECT split, 0 AS shard, split_idx // 50 AS batch, split_idx, pos, token_id FROM src_tok
+          SELECT split, 0::BIGINT AS shard, split_idx // 50 AS batch, split_idx, pos, token_id FROM src_tok
           UNION ALL
           SELECT split, 0, split_idx // 50, split_idx, 1000000000000, {EOS} FROM corpus),
-        {_cut_sql('split, shard, batch', 'batched', 1 << 20, _KEEP_SHORT, 'split_idx')}
+        {_cut_sql('split, shard, batch', 'batched', BLOCK, _KEEP_SHORT, 'split_idx')}
         SELECT split, shard, batch, block, n_ids, ids_md5 FROM cut_blocks""",
     "packed_types": f"""{_T} SELECT split, 'array<int>' AS ids_type, 'array<boolean>' AS mask_type,
         true AS same_size, count(*) AS n_blocks FROM cut_blocks GROUP BY split""",

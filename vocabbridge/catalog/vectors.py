@@ -154,7 +154,7 @@ SQL = {
     "final_vectors": f"""WITH {CORPUS},{TGT},{_PARAMS}
         SELECT id, d, round(sum(v), 6) AS value FROM params WHERE d < {DIMS} GROUP BY id, d""",
     "fitted_vectors": f"""WITH {CORPUS},{TGT}
-        SELECT CAST(token_id AS VARCHAR) AS token, token_id AS ord, 16 AS dims FROM tgt_vocab WHERE cnt >= 5""",
+        SELECT CAST(token_id AS VARCHAR) AS token, token_id AS ord, 16::BIGINT AS dims FROM tgt_vocab WHERE cnt >= 5""",
     "normalised_vectors": """WITH v AS (
           SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
         SELECT vec_id, unnest(range(len(e))) AS d,

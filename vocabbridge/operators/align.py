@@ -27,11 +27,13 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
     """``id, ord, vector`` scaled to length 1, from ``token, ord, vector``.
 
     Rows of the unknown token and zero vectors are left out: neither can be a match.
+    So is any other token that is not an id.
     """
-    known = vectors.where(~F.col("token").isin(UNKNOWN_TOKENS))
+    is_id = F.col("token").try_cast("int").isNotNull()
+    known = vectors.where(~F.col("token").isin(UNKNOWN_TOKENS) & is_id)
     sized = known.withColumn("_norm", norm(F.col("vector"))).where(F.col("_norm") > 0)
     return sized.select(
-        F.col("token").cast("int").alias("id"),
+        F.col("token").try_cast("int").alias("id"),
         "ord",
         l2_normalise(F.col("vector"), F.col("_norm")).alias("vector"),
     )

@@ -74,7 +74,8 @@ def count_pairs(tokenised: Tokenised, window: int = cooccur.WINDOW, min_count: i
 def fit_vectors(tokenised: Tokenised, window: int = cooccur.WINDOW, min_count: int = MIN_COUNT, **options) -> DataFrame:
     """``token, ord, vector`` for the frequent tokens of a corpus."""
     ids = vector_vocabulary(tokenised.vocab, min_count)
-    params = glove.fit(count_pairs(tokenised, window, min_count), ids, **options)
+    pairs = stored(count_pairs(tokenised, window, min_count), "pairs")
+    params = glove.fit(pairs, ids, **options)
     return glove.token_vectors(params, ids)
 
 
