@@ -27,7 +27,7 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
     schema = T.StructType(list(df.schema.fields))
     for name in sums:
         schema.add(f"_{name}", "long").add(f"_{name}_own", "long")
-    schema.add("_part", "int")
+    schema.add("_part", "integer")
 
     def add(batches):
         part, before = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vocabbridge.llm import dedup
+from vocabbridge.llm import dedup, sharding
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,8 +17,18 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.duplicate_report(_documents(spark, folder))
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes; equal texts share a shard."""
+    placed = sharding.assign_shards(_documents(spark, folder), 24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_sharding": op2_sharding,
 }
 
 # Lower-cases A-Z only, as the operator does.
