@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabbridge.llm import dedup, sharding
+from vocabbridge.llm import dedup, mixing, sharding
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,9 +26,15 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """The words that a mix of all sources at weights 1, 2, 3 takes from each document."""
+    return mixing.mix(_documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
+    "op6_mixing": op6_mixing,
 }
 
 # Lower-cases A-Z only, as the operator does.
