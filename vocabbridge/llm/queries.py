@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabbridge.llm import dedup, mixing, sharding
+from vocabbridge.llm import bpe, dedup, mixing, secrets, sharding
+
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,10 +34,22 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded with a byte-level BPE vocabulary and decoded again, as digests."""
+    return bpe.round_trip(_documents(spark, folder), tokenizer_path(BYTE_BPE))
+
+
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every text: fixed patterns and lexed assignments."""
+    return secrets.scan(_documents(spark, folder))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
+    "op4_bpe": op4_bpe,
     "op6_mixing": op6_mixing,
+    "op10_secrets": op10_secrets,
 }
 
 # Lower-cases A-Z only, as the operator does.
