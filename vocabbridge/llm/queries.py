@@ -6,9 +6,10 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabbridge.llm import bpe, dedup, mixing, secrets, sharding
+from vocabbridge.llm import bpe, dedup, langid, mixing, quality, secrets, sharding, unigram
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,16 +30,31 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text, learned from the labels that are not held out."""
+    return langid.identify(_documents(spark, folder))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """The words that a mix of all sources at weights 1, 2, 3 takes from each document."""
     return mixing.mix(_documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram-model token counts of every text."""
+    return unigram.count_tokens(_documents(spark, folder), tokenizer_path(PIECES))
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded with a byte-level BPE vocabulary and decoded again, as digests."""
     return bpe.round_trip(_documents(spark, folder), tokenizer_path(BYTE_BPE))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weights of all documents and which of them are drawn."""
+    return quality.judge(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every text: fixed patterns and lexed assignments."""
     return secrets.scan(_documents(spark, folder))
@@ -47,8 +63,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
+    "op3_token_counts": op3_token_counts,
     "op4_bpe": op4_bpe,
+    "op5_language": op5_language,
     "op6_mixing": op6_mixing,
+    "op8_quality": op8_quality,
     "op10_secrets": op10_secrets,
 }
 
