@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabbridge.llm import bpe, dedup, langid, mixing, quality, secrets, sharding, unigram
+from vocabbridge.llm import bpe, dedup, langid, mixing, near, quality, secrets, sharding, unigram
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -55,6 +55,11 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of near-duplicate documents; the smallest id of each stays."""
+    return near.near_classes(_documents(spark, folder))
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of secrets in every text: fixed patterns and lexed assignments."""
     return secrets.scan(_documents(spark, folder))
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
     "op8_quality": op8_quality,
+    "op9_near_dedup": op9_near_dedup,
     "op10_secrets": op10_secrets,
 }
 
