@@ -290,3 +290,19 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "doc_id", "class_id", "class_size",
         F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each class, the one with the smallest id.
+
+    Only rows whose id may be among the dropped ones (a bit table of fixed size says so)
+    are shuffled.  Rows without an id stay; rows that repeat an id stay or go together.
+    """
+    classes = near_classes(docs, doc_id, text)
+    dropped = stored(classes.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "dropped")
+    bits = stored(bit_table(dropped.select(F.xxhash64("doc_id").alias("h")), "h"), "bits")
+    own = F.col(doc_id).cast("long")
+    tagged = may_contain(docs, bits, F.xxhash64(own))
+    asked = tagged.where("_hit").select(*docs.columns)
+    left = asked.join(dropped.withColumnRenamed("doc_id", "_id"), own == F.col("_id"), "left_anti")
+    return tagged.where(~F.col("_hit")).select(*docs.columns).unionAll(left)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocabbridge.llm import bpe, dedup, langid, mixing, near, quality, secrets, sharding, unigram
+from vocabbridge.llm import bpe, dedup, langid, mixing, mtree, near, quality, secrets, sharding, unigram
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -50,6 +51,12 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, folder), tokenizer_path(BYTE_BPE))
 
 
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest inner products for every twentieth vector, over all other vectors."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return mtree.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Importance weights of all documents and which of them are drawn."""
     return quality.judge(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
@@ -65,6 +72,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(_documents(spark, folder))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the document pipeline."""
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
@@ -72,9 +84,11 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
     "op6_mixing": op6_mixing,
+    "op7_top_k": op7_top_k,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_secrets": op10_secrets,
+    "pipeline": pipeline,
 }
 
 # Lower-cases A-Z only, as the operator does.
@@ -88,4 +102,20 @@ SQL = {
                sha256(norm) AS text_sha256
         FROM n JOIN g USING (norm)
     """,
+    # Vectors here have no null or non-finite components.
+    "op7_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL
+        ),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ),
+        r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+            FROM s
+        )
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+    """,
 }
