@@ -504,6 +504,7 @@ def _valid(raw: np.ndarray) -> bytes:
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "input_ids") -> DataFrame:
     """``docs`` with the ids of each text as an array ``out``."""
     vocabulary, lexicon = _shipped(docs, path, text)
+    docs = docs.select([c for c in docs.columns if c != out])
     kept = docs.columns
     place = kept.index(text)
 

@@ -172,32 +172,32 @@ def routed(docs: DataFrame, text: str, prints: DataFrame) -> DataFrame:
     inputs, more texts than needed are compared, with the same result.
     """
     bits = stored(bit_table(repeated_fingerprints(prints), "fp"), "bits")
-    named = docs.withColumn("_norm", normalised(F.col(text))).withColumn("_fp", F.xxhash64("_norm"))
-    return may_contain(named, bits, F.col("_fp"))
+    named = docs.withColumn("__norm", normalised(F.col(text))).withColumn("__fp", F.xxhash64("__norm"))
+    return may_contain(named, bits, F.col("__fp"))
 
 
 def duplicate_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    normed = docs.select("doc_id", normalised(F.col("text")).alias("_norm"))
-    hashes = [F.xxhash64("_norm").alias("_fp"), F.unhex(F.sha2("_norm", 256)).alias("_sha")]
+    normed = docs.select("doc_id", normalised(F.col("text")).alias("__norm"))
+    hashes = [F.xxhash64("__norm").alias("__fp"), F.unhex(F.sha2("__norm", 256)).alias("__sha")]
     members = stored(normed.select("doc_id", *hashes), "prints")
-    tagged = routed(docs, "text", members.select(F.col("_fp").alias("fp")))
+    tagged = routed(docs, "text", members.select(F.col("__fp").alias("fp")))
     groups = (
-        tagged.where("_hit")
-        .groupBy("_fp", "_norm")
+        tagged.where("__hit")
+        .groupBy("__fp", "__norm")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
         .where("group_size > 1")
-        .select("_fp", F.unhex(F.sha2("_norm", 256)).alias("_sha"), "group_size", "keep_id")
+        .select("__fp", F.unhex(F.sha2("__norm", 256)).alias("__sha"), "group_size", "keep_id")
     )
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return members.join(groups, ["_fp", "_sha"], "left").select(
+    return members.join(groups, ["__fp", "__sha"], "left").select(
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"),
-        F.lower(F.hex("_sha")).alias("text_sha256"),
+        F.lower(F.hex("__sha")).alias("text_sha256"),
     )
 
 
@@ -209,6 +209,6 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     prints = docs.select(F.xxhash64(normalised(F.col(text))).alias("fp"))
     tagged = routed(docs, text, prints)
     row = F.struct(*[F.col(c) for c in docs.columns])
-    best = F.max_by(row, F.struct(F.col(doc_id))).alias("_row")
-    compared = tagged.where("_hit").groupBy("_fp", "_norm").agg(best).select("_row.*")
-    return tagged.where(~F.col("_hit")).select(*docs.columns).unionAll(compared)
+    best = F.max_by(row, F.struct(F.col(doc_id))).alias("__row")
+    compared = tagged.where("__hit").groupBy("__fp", "__norm").agg(best).select("__row.*")
+    return tagged.where(~F.col("__hit")).select(*docs.columns).unionAll(compared)

@@ -169,21 +169,21 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         "doc_id", sized["source"], "size", "source_size", "target", "number"
     )
     ordered = stored(running(numbered, ["number", "doc_id", "size"], {"start": "size"}).withColumn(
-        "_row", F.monotonically_increasing_id()), "ordered")
+        "__row", F.monotonically_increasing_id()), "ordered")
     bases = ordered.groupBy("number").agg(F.min("start").alias("base"))
     begin = F.col("start") - F.col("base")
     spans = ordered.where("size > 0").join(F.broadcast(bases), "number").select(
-        "_row", "number", begin.alias("begin"), (begin + F.col("size")).alias("end")
+        "__row", "number", begin.alias("begin"), (begin + F.col("size")).alias("end")
     )
     block = F.explode(F.sequence(F.floor(F.col("begin") / BLOCK_WORDS), F.floor((F.col("end") - 1) / BLOCK_WORDS)))
     pieces = spans.withColumn("block", block).select(
-        "_row", "number", "block",
+        "__row", "number", "block",
         (F.least("end", (F.col("block") + 1) * BLOCK_WORDS) - F.greatest("begin", F.col("block") * BLOCK_WORDS)).alias("words"),
     )
-    taken = pieces.join(taken_blocks, ["number", "block"]).groupBy("_row").agg(
+    taken = pieces.join(taken_blocks, ["number", "block"]).groupBy("__row").agg(
         F.sum(F.col("words") * F.col("times")).alias("taken")
     )
-    return ordered.join(taken, "_row", "left").select(
+    return ordered.join(taken, "__row", "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
@@ -197,9 +197,9 @@ def repeat_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "sou
     luck = F.pmod(F.xxhash64(F.lit(SEED), F.col("doc_id")), F.lit(1 << 32)) / F.lit(float(1 << 32))
     copies = (
         mix(docs, doc_id, source, text)
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.max(F.floor(share + luck)).cast("int").alias("_copies"))
-        .where("_copies > 0")
+        .groupBy(F.col("doc_id").alias("__id"))
+        .agg(F.max(F.floor(share + luck)).cast("int").alias("__copies"))
+        .where("__copies > 0")
     )
-    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -161,7 +161,7 @@ def shingle_sets(docs: DataFrame, bits: DataFrame) -> DataFrame:
                     names=["node", "items", "weights"],
                 )
 
-    needed = may_contain(docs, bits, F.xxhash64("doc_id")).where(F.col("_hit") | F.col("doc_id").isNull())
+    needed = may_contain(docs, bits, F.xxhash64("doc_id")).where(F.col("__hit") | F.col("doc_id").isNull())
     named = F.col("doc_id").isNotNull().cast("long").alias("named")
     sets = needed.select("doc_id", "text", named).mapInArrow(run, "node long, items binary, weights binary")
     return sets
@@ -303,6 +303,6 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     bits = stored(bit_table(dropped.select(F.xxhash64("doc_id").alias("h")), "h"), "bits")
     own = F.col(doc_id).cast("long")
     tagged = may_contain(docs, bits, F.xxhash64(own))
-    asked = tagged.where("_hit").select(*docs.columns)
-    left = asked.join(dropped.withColumnRenamed("doc_id", "_id"), own == F.col("_id"), "left_anti")
-    return tagged.where(~F.col("_hit")).select(*docs.columns).unionAll(left)
+    asked = tagged.where("__hit").select(*docs.columns)
+    left = asked.join(dropped.withColumnRenamed("doc_id", "__id"), own == F.col("__id"), "left_anti")
+    return tagged.where(~F.col("__hit")).select(*docs.columns).unionAll(left)

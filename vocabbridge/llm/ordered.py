@@ -57,7 +57,7 @@ def bit_table(keys: DataFrame, key: str) -> DataFrame:
     """The low ``FILTER_BITS`` bits of the hashes ``key`` as a bit table of bounded size."""
     bit = F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     one = F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(31)).cast("int"))
-    return keys.groupBy(F.shiftright(bit, 5).cast("int").alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    return keys.groupBy(F.shiftright(bit, 5).cast("int").alias("__word")).agg(F.bit_or(one).alias("__bits"))
 
 
 def may_contain(df: DataFrame, bits: DataFrame, key: Column) -> DataFrame:
@@ -66,8 +66,8 @@ def may_contain(df: DataFrame, bits: DataFrame, key: Column) -> DataFrame:
     The broadcast table has at most 2**19 rows by construction.
     """
     bit = key.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    tagged = df.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 5).cast("int"))
-    found = tagged.join(F.broadcast(bits), "_word", "left")
-    place = F.col("_bit").bitwiseAND(F.lit(31)).cast("int")
-    one = F.call_function("shiftright", F.col("_bits"), place).bitwiseAND(F.lit(1))
-    return found.withColumn("_hit", F.coalesce(one == 1, F.lit(False))).drop("_bit", "_word", "_bits")
+    tagged = df.withColumn("__bit", bit).withColumn("__word", F.shiftright("__bit", 5).cast("int"))
+    found = tagged.join(F.broadcast(bits), "__word", "left")
+    place = F.col("__bit").bitwiseAND(F.lit(31)).cast("int")
+    one = F.call_function("shiftright", F.col("__bits"), place).bitwiseAND(F.lit(1))
+    return found.withColumn("__hit", F.coalesce(one == 1, F.lit(False))).drop("__bit", "__word", "__bits")

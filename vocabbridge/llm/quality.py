@@ -94,7 +94,7 @@ def log_ratios(good: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, text: str) -> DataFrame:
-    """``docs`` with ``log_weight`` and ``n_grams``."""
+    """``docs`` with ``__weight``, its log, and ``__grams``, the number of n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     place = docs.columns.index(text)
 
@@ -114,10 +114,10 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text: str) -> DataFrame:
                         pa.array(EFFECTIVE_GRAMS * weight),
                         pa.array(count),
                     ],
-                    names=[*batch.schema.names, "log_weight", "n_grams"],
+                    names=[*batch.schema.names, "__weight", "__grams"],
                 )
 
-    typed = docs.withColumn("log_weight", F.lit(None).cast("double")).withColumn("n_grams", F.lit(None).cast("long"))
+    typed = docs.withColumn("__weight", F.lit(None).cast("double")).withColumn("__grams", F.lit(None).cast("long"))
     return docs.mapInArrow(run, typed.schema)
 
 
@@ -144,7 +144,7 @@ def gumbel(doc_id: Column) -> Column:
 
 
 def mean_ratio() -> Column:
-    return F.col("log_weight") / EFFECTIVE_GRAMS
+    return F.col("__weight") / EFFECTIVE_GRAMS
 
 
 class Model:
@@ -168,8 +168,8 @@ class Model:
         self.slope, self.offset = fit_curve(rows["x"].to_numpy(), rows["_good"].to_numpy(float))
 
     def scores(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``log_weight, n_grams, key``; the largest keys are drawn."""
-        return weigh(docs, self.ratios, self.text).withColumn("key", F.col("log_weight") + gumbel(F.col(self.doc_id)))
+        """``docs`` with ``__weight, __grams, __key``; the largest keys are drawn."""
+        return weigh(docs, self.ratios, self.text).withColumn("__key", F.col("__weight") + gumbel(F.col(self.doc_id)))
 
     def drawn(self, scores: DataFrame) -> Column:
         """Whether a row of a stored table of scores is among the k drawn."""
@@ -177,7 +177,7 @@ class Model:
         k = scores.agg(F.sum(chance)).first()[0]
         k = int(round(k or 0))
         ranked = running(
-            scores.select((-F.col("key")).alias("low"), F.col(self.doc_id).alias("id"), F.lit(1).alias("one")),
+            scores.select((-F.col("__key")).alias("low"), F.col(self.doc_id).alias("id"), F.lit(1).alias("one")),
             ["low", "id"], {"rank": "one"},
         )
         last = ranked.where(F.col("rank") == k - 1).select("low", "id").first()
@@ -185,7 +185,7 @@ class Model:
             return F.lit(k > 0)
         key, id_ = F.lit(-last["low"]), F.col(self.doc_id)
         tie = id_.isNull() if last["id"] is None else id_.isNull() | (id_ <= last["id"])
-        return (F.col("key") > key) | ((F.col("key") == key) & tie)
+        return (F.col("__key") > key) | ((F.col("__key") == key) & tie)
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,7 +198,10 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             "doc_id", zero.alias("log_weight"), F.lit(0).cast("long").alias("n_grams"), zero.alias("key"), F.lit(True).alias("kept")
         )
     scores = stored(model.scores(docs).drop("text"), "scores")
-    return scores.withColumn("kept", model.drawn(scores))
+    return scores.select(
+        "doc_id", F.col("__weight").alias("log_weight"), F.col("__grams").alias("n_grams"), F.col("__key").alias("key"),
+        model.drawn(scores).alias("kept"),
+    )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
