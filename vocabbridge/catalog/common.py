@@ -138,7 +138,7 @@ tgt_len AS (SELECT row_idx, count(*) AS n FROM tgt_tok GROUP BY row_idx),
 samples AS (
   SELECT row_idx, split_idx AS sample_id
   FROM corpus JOIN src_len s USING (row_idx) JOIN tgt_len t USING (row_idx)
-  WHERE split = 'validation' AND split_idx < 1000 AND s.n >= 10 AND t.n >= 10
+  WHERE split = 'validation' AND s.n >= 10 AND t.n >= 10
 )"""
 
 OCCURRENCES = """

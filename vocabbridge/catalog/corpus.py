@@ -71,7 +71,7 @@ def corpus_statistics(spark, folder):
 
 
 def corpus_statistics_all(spark, folder):
-    return plain(C.corpus_statistics(C.within_budget(_marked(spark, folder))))
+    return plain(C.corpus_statistics(_marked(spark, folder)))
 
 
 def head_split(spark, folder):
@@ -119,7 +119,7 @@ def repeated_feed(spark, folder):
 
 
 def head_rows(spark, folder):
-    return R.head_rows(prepared(spark, folder).select("row_idx", "doc_id"), C.RATIO_ROWS)
+    return R.head_rows(prepared(spark, folder).select("row_idx", "doc_id"), 400)
 
 
 QUERIES = {
@@ -174,7 +174,7 @@ SQL = {
     "head_split": f"WITH {CORPUS} SELECT doc_id, row_idx, split, split_idx FROM corpus",
     "split_sizes": f"WITH {CORPUS} SELECT split, count(*) AS n_rows FROM corpus GROUP BY split",
     "chars_per_token": rf"""WITH {CORPUS} SELECT round(sum(length(text)) /
-        sum(len(regexp_extract_all(text, '\S+'))), 6) AS chars_per_token FROM corpus WHERE row_idx < 400""",
+        sum(len(regexp_extract_all(text, '\S+'))), 6) AS chars_per_token FROM corpus""",
     "row_json": f"WITH {CORPUS} SELECT doc_id, md5(CAST(to_json({{'text': text}}) AS VARCHAR)) AS json_md5 FROM kept",
     "dataset_counts": """SELECT count(*) AS n_rows, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS n_batches
         FROM documents""",

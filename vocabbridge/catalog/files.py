@@ -64,7 +64,7 @@ def split_names(spark, folder):
 def token_line_file(spark, folder):
     path = new_path(spark, "lines")
     train = source(spark, folder).rows.where(F.col("split") == "train")
-    W.write_token_lines(X.token_lines(train, 0, X.MAX_LINES_TRAIN), path)
+    W.write_token_lines(X.token_lines(train, X.MIN_TOKENS_TRAIN), path)
     back = R.read_token_lines(spark, path)
     lines = back.select(F.md5(ids_to_line(F.col("input_ids"))).alias("line_md5"))
     return lines.groupBy("line_md5").agg(F.count(F.lit(1)).alias("n_rows"))

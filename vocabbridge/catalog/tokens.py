@@ -129,7 +129,7 @@ def decoded_frequent(spark, folder):
 
 def token_lines(spark, folder):
     train = source(spark, folder).rows.where(F.col("split") == "train")
-    lines = X.token_lines(train, min_tokens=20, max_lines=1_000_000)
+    lines = X.token_lines(train, min_tokens=20)
     return lines.select("split_idx", F.md5("line").alias("line_md5"))
 
 

@@ -11,9 +11,7 @@ from vocabbridge.operators.rowindex import head_rows, row_count, running_before,
 # The workload's defaults.
 MIN_CHARS = 50
 BATCH_ROWS = 1000
-TARGET_TOKENS = 1_000_000_000
 VALIDATION_PERCENT = 5
-RATIO_ROWS = 400
 
 
 def mark_rows(df: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -50,7 +48,7 @@ def batch_totals(marked: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
 
 
 def within_budget(
-    marked: DataFrame, target: int = TARGET_TOKENS, batch_rows: int = BATCH_ROWS
+    marked: DataFrame, target: int, batch_rows: int = BATCH_ROWS
 ) -> DataFrame:
     """Rows of the batches up to the one that reaches ``target`` tokens.
 
@@ -105,13 +103,13 @@ def evaluation_split(splits: list[str]) -> str:
     return "test" if "test" in splits else "validation"
 
 
-def chars_per_token(df: DataFrame, rows: int = RATIO_ROWS) -> DataFrame:
-    """Characters per token over the first ``rows`` rows; 1 for a corpus without text.
+def chars_per_token(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Characters per token; 1 for a corpus without text.
 
-    The head sample is the estimator's definition; ``df`` holds ``row_idx``, ``text``
+    All rows count, or the first ``rows`` if given; ``df`` holds ``row_idx``, ``text``
     and ``n_tokens``.
     """
-    head = head_rows(df, rows)
+    head = df if rows is None else head_rows(df, rows)
     if "text" not in df.columns:
         return head.agg(F.lit(1.0).alias("chars_per_token"))
     return head.agg(

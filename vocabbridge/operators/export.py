@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from vocabbridge.functions.sequences import ids_to_line
 from vocabbridge.operators.rowindex import head_rows
 
-# Limits used when the stages run together.
+# Shortest rows taken when the stages run together.
 MIN_TOKENS_TRAIN = 0
-MAX_LINES_TRAIN = 1_000_000_000
 MIN_TOKENS_EVAL = 10
-MAX_LINES_EVAL = 1_000
+
+
+def _head(tokens: DataFrame, max_lines: int | None, index: str) -> DataFrame:
+    return tokens if max_lines is None else head_rows(tokens, max_lines, index)
 
 
 def token_lines(
-    tokens: DataFrame, min_tokens: int = 15, max_lines: int = 1_000_000, index: str = "split_idx"
+    tokens: DataFrame, min_tokens: int = 15, max_lines: int | None = None, index: str = "split_idx"
 ) -> DataFrame:
-    """``line`` for each of the first ``max_lines`` rows that is long enough.
+    """``line`` for each row that is long enough, among the first ``max_lines`` if given.
 
     The head limit counts rows before the length filter.
     """
     return (
-        head_rows(tokens, max_lines, index)
+        _head(tokens, max_lines, index)
         .where(F.size("input_ids") >= min_tokens)
         .select(index, ids_to_line(F.col("input_ids")).alias("line"))
     )
@@ -33,21 +35,21 @@ def paired_rows(
     source: DataFrame,
     target: DataFrame,
     min_tokens: int = 15,
-    max_lines: int = 1_000,
+    max_lines: int | None = None,
     index: str = "split_idx",
 ) -> DataFrame:
     """``sample_id, src_ids, tgt_ids`` of rows at the same position in two tokenisations.
 
     Both sides must have the same number of rows; rows too short on either side are
-    dropped after the head limit.
+    dropped after the head limit, if there is one.
     """
     n_source, n_target = source.count(), target.count()
     if n_source != n_target:
         raise ValueError(f"cannot pair {n_source} source rows with {n_target} target rows")
-    left = head_rows(source, max_lines, index).select(
+    left = _head(source, max_lines, index).select(
         F.col(index).alias("sample_id"), F.col("input_ids").alias("src_ids")
     )
-    right = head_rows(target, max_lines, index).select(
+    right = _head(target, max_lines, index).select(
         F.col(index).alias("sample_id"), F.col("input_ids").alias("tgt_ids")
     )
     long_enough = (F.size("src_ids") >= min_tokens) & (F.size("tgt_ids") >= min_tokens)

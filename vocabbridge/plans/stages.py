@@ -54,7 +54,6 @@ def evaluation_pairs(source: Tokenised, target: Tokenised) -> DataFrame:
         source.rows.where(held_out),
         target.rows.where(held_out),
         export.MIN_TOKENS_EVAL,
-        export.MAX_LINES_EVAL,
     )
 
 
