@@ -29,7 +29,7 @@ def brute_classes(rows):
     """Smallest id of the component of every row number."""
     label = list(range(len(rows)))
     sets = [shingle_counts(t) for _, t in rows]
-    texts = [(" ".join(x.decode("utf-8", "replace") for x in (t or "").lower().encode().split())) for _, t in rows]
+    texts = [(t or "").encode().lower().split() for _, t in rows]  # bytes: only A-Z are lower-cased
 
     def find(x):
         while label[x] != x:

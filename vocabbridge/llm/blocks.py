@@ -124,3 +124,9 @@ def word_hashes(found: Words, lower: bool = True) -> np.ndarray:
     letters = _LOWER[found.letters] if lower else found.letters
     values = (letters.astype(np.uint64) + np.uint64(1)) * powers[place]
     return mix(np.add.reduceat(values, borders[:-1]) + lengths.astype(np.uint64))
+
+
+def ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each begin, ``counts`` of them, back to back."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - ends + counts, counts)

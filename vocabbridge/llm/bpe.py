@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from vocabbridge.llm.blocks import Slice, mix, slices, strings
+from vocabbridge.llm.blocks import Slice, mix, ranges, slices, strings
 
 # Words in the lexicon at most, and the longest, in bytes.
 LEXICON_WORDS = 65_536
@@ -375,10 +375,10 @@ class Encoder:
             counts[place] = 1
         begins = np.cumsum(counts) - counts
         ids = np.empty(int(counts.sum()), np.int64)
-        ids[_ranges(begins[fresh], counts[fresh])] = fresh_ids
+        ids[ranges(begins[fresh], counts[fresh])] = fresh_ids
         if len(known):
-            ids[_ranges(begins[known], counts[known])] = self.lexicon.ids[
-                _ranges(self.lexicon.begin[number[known]], counts[known])
+            ids[ranges(begins[known], counts[known])] = self.lexicon.ids[
+                ranges(self.lexicon.begin[number[known]], counts[known])
             ]
         for place, value in fixed.items():
             ids[begins[place]] = value
@@ -392,12 +392,6 @@ class Encoder:
         return np.asarray(found.indices), by_text, *self.words(found.dictionary)
 
 
-def _ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... for each begin, ``counts`` of them, back to back."""
-    ends = np.cumsum(counts)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - ends + counts, counts)
-
-
 def word_counts(docs: DataFrame, text: str, special: bytes) -> DataFrame:
     """``word, n`` over all texts, for words short enough for the lexicon."""
     classes = docs.sparkSession.sparkContext.broadcast(char_classes())
@@ -514,7 +508,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "input_ids
             for part in slices(batch.column(place), SLICE_BYTES):
                 index, by_text, ids, counts = encoder.encode(part)
                 begins = np.cumsum(counts) - counts
-                flat = ids[_ranges(begins[index], counts[index])].astype(np.int32)
+                flat = ids[ranges(begins[index], counts[index])].astype(np.int32)
                 before = np.concatenate([[0], np.cumsum(counts[index])])[by_text].astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(before), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(

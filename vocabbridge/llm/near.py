@@ -10,9 +10,9 @@ pairs are verified by the exact similarity of their shingles.
 
 Texts with the same words are one node from the start.  Within a bucket pairs are
 tested against a pivot, the same in all bands first, then another for each band.  What
-is left, buckets whose nodes are still in several components, is tested pair by pair
-across components.  In a bucket with more than ``LARGE`` nodes left, such a pair must
-also agree in a second band; at the threshold that misses less than one pair in 5,000.
+is left, buckets whose nodes are still in several components, is tested in blocks, every
+pair across components, without writing the pairs out.  So no link between two texts of
+one bucket is lost, and two texts at the threshold share no bucket once in 100,000.
 The classes are the connected components of all verified pairs.
 
 Nulls and edges: A-Z are lower-cased; words are runs without ASCII white space.  Texts
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocabbridge.llm.blocks import Slice, mix, slices, word_hashes, words
+from vocabbridge.llm.blocks import Slice, mix, ranges, slices, word_hashes, words
 from vocabbridge.llm.graph import components
 from vocabbridge.llm.ordered import bit_table, may_contain
 from vocabbridge.storage import stored
@@ -37,7 +37,8 @@ from vocabbridge.storage import stored
 SHINGLE = 5
 BANDS, ROWS = 30, 5
 THRESHOLD = 0.8
-LARGE = 64
+# Nodes of a bucket that one task tests against each other.
+BLOCK = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 # Bits of a shingle's hash; the rest of a sort key is the text's number in the slice.
 _BITS = 44
@@ -225,32 +226,66 @@ def _pivot_pairs(members: DataFrame, *salt) -> DataFrame:
     )
 
 
-def _left_pairs(members: DataFrame, bands: DataFrame) -> DataFrame:
-    """All pairs across components in the buckets that still have several components."""
+def _link(table: pa.Table) -> pa.Table:
+    """Links that join components, among the sets of one or two blocks of a bucket.
+
+    Overlaps are counted with an inverted index of the sets.  A pair that is in one
+    component by now is not looked at, so there are fewer links than sets.
+    """
+    nodes, comps = table.column("node").to_pylist(), table.column("comp").to_pylist()
+    sides = np.asarray(table.column("side"))
+    raw, weights = table.column("items").to_pylist(), table.column("weights").to_pylist()
+    items = [np.frombuffer(x, np.uint32) for x in raw]
+    sizes = np.array([len(x) for x in items])
+    plain = np.array([not w for w in weights])
+    owner = np.repeat(np.arange(len(items)), sizes)
+    flat = np.concatenate(items)
+    order = np.argsort(flat, kind="stable")
+    values, begins, counts = np.unique(flat[order], return_index=True, return_counts=True)
+    holders = owner[order]
+    numbers = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([numbers[c] for c in comps])
+    links = []
+    for u in range(len(items)):
+        if (comp == comp[u]).all():
+            break
+        at = np.searchsorted(values, items[u])
+        overlap = np.bincount(holders[ranges(begins[at], counts[at])], minlength=len(items))
+        maybe = (overlap > 0) & (comp != comp[u]) & ((sides != sides[u]) if sides[0] != sides[-1] else True)
+        sure = maybe & plain & plain[u] & (overlap >= (THRESHOLD - 1e-9) * (sizes + sizes[u] - overlap))
+        tested = [*np.flatnonzero(sure), *np.flatnonzero(maybe & ~(plain & plain[u]))]
+        for v in tested:
+            if comp[v] == comp[u]:
+                continue
+            if sure[v] or similarity(raw[u], weights[u], raw[v], weights[v]) >= THRESHOLD - 1e-9:
+                comp[comp == comp[v]] = comp[u]
+                links.append(sorted((nodes[u], nodes[v])))
+    columns = list(zip(*links, strict=True)) if links else [[], []]
+    return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+
+def _left_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components that are left in a bucket, all pairs tested in blocks.
+
+    A bucket's nodes are dealt to blocks of about ``BLOCK``; a task tests one block, or
+    one block against another.
+    """
     state = members.groupBy("key").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")
-    )
-    open_ = stored(members.join(state.where("low <> high").select("key", "n"), "key"), "open")
-    small = open_.where(F.col("n") <= LARGE).select("key", "node", "comp")
-    second = F.explode("bands").alias("other")
-    large = (
-        open_.where(F.col("n") > LARGE)
-        .join(bands, "node")
-        .select("key", "node", "comp", second)
-        .where("other <> key")
-        .select(F.xxhash64("key", "other").alias("key"), "node", "comp")
-    )
-    pool = small.unionAll(large)
-    mixed = pool.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    pool = stored(pool.join(mixed.select("key"), "key"), "pool")
-    other = pool.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    return (
-        pool.withColumnRenamed("node", "a")
-        .join(other, "key")
-        .where("comp < comp_b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
     )
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks"))
+    open_ = members.join(state.where("low <> high").select("key", "blocks"), "key").withColumn("own", own)
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    tasks = stored(dealt.select("key", low, high, F.col("own").alias("side"), "node", "comp"), "tasks")
+    mixed = tasks.groupBy("key", "low", "high").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d")
+    left = tasks.join(mixed.select("key", "low", "high"), ["key", "low", "high"]).join(sets, "node")
+    ordered = left.select("key", "low", "high", "side", "node", "comp", "items", "weights")
+    return ordered.groupBy("key", "low", "high").applyInArrow(_link_sorted, "a long, b long").distinct()
+
+
+def _link_sorted(table: pa.Table) -> pa.Table:
+    return _link(table.sort_by([("side", "ascending"), ("node", "ascending")]))
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,17 +305,20 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     bits = stored(bit_table(members.select("node").distinct().select(F.xxhash64("node").alias("h")), "h"), "bits")
     sets = stored(shingle_sets(docs, bits), "sets")
 
-    links = None
-    labelled = members.withColumn("comp", F.col("node"))
+    links = comps = None
     for step in (
-        lambda m: _pivot_pairs(m, F.lit(0)),
-        lambda m: _pivot_pairs(m, F.col("key")),
-        lambda m: _left_pairs(m, nodes.select("node", "bands")),
+        lambda m: verified(_pivot_pairs(m, F.lit(0)), sets),
+        lambda m: verified(_pivot_pairs(m, F.col("key")), sets),
+        lambda m: _left_links(m, sets),
     ):
-        found = stored(verified(step(labelled), sets), "links")
+        if comps is None:
+            labelled = members.withColumn("comp", F.col("node"))
+        else:
+            joined = members.join(comps, "node", "left")
+            labelled = stored(joined.select("key", "node", F.coalesce("comp", "node").alias("comp")), "labelled")
+        found = stored(step(labelled), "links")
         links = found if links is None else links.unionAll(found)
         comps = stored(components(links), "components")
-        labelled = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     grouped = nodes.select("d1", "d2", "node").join(comps, "node", "left").select(
         "d1", "d2", F.coalesce("comp", "node").alias("comp")
     )
