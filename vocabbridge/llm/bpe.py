@@ -32,7 +32,9 @@ from vocabbridge.llm.blocks import Slice, mix, ranges, slices, strings
 # Words in the lexicon at most, and the longest, in bytes.
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 32
-SLICE_BYTES = 4 << 20
+# Bytes of text that are encoded, and counted, at a time.
+SLICE_BYTES = 1 << 20
+COUNT_BYTES = 4 << 20
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
@@ -398,7 +400,7 @@ def word_counts(docs: DataFrame, text: str, special: bytes) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch.column(0), SLICE_BYTES):
+            for part in slices(batch.column(0), COUNT_BYTES):
                 borders = word_borders(part, classes.value, special)
                 found = strings(part.data, borders)
                 found = found.filter(pa.array(np.diff(borders) <= LEXICON_BYTES)).value_counts()
