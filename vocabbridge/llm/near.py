@@ -229,8 +229,10 @@ def _pivot_pairs(members: DataFrame, *salt) -> DataFrame:
 def _link(table: pa.Table) -> pa.Table:
     """Links that join components, among the sets of one or two blocks of a bucket.
 
-    Overlaps are counted with an inverted index of the sets.  A pair that is in one
-    component by now is not looked at, so there are fewer links than sets.
+    Overlaps are counted with an inverted index of the sets.  With weights, let m be the
+    sum over common elements of the smaller share of its set: the similarity is between
+    m / (2 - m) and m, so it is computed only for pairs that this leaves open.  A pair
+    that is in one component by now is not looked at, so there are fewer links than sets.
     """
     nodes, comps = table.column("node").to_pylist(), table.column("comp").to_pylist()
     sides = np.asarray(table.column("side"))
@@ -240,9 +242,14 @@ def _link(table: pa.Table) -> pa.Table:
     plain = np.array([not w for w in weights])
     owner = np.repeat(np.arange(len(items)), sizes)
     flat = np.concatenate(items)
+    amount = np.concatenate(
+        [np.frombuffer(w, np.uint32) if w else np.ones(n, np.uint32) for w, n in zip(weights, sizes, strict=True)]
+    )
+    share = amount / np.bincount(owner, amount)[owner]
+    borders = np.append(0, np.cumsum(sizes))
     order = np.argsort(flat, kind="stable")
     values, begins, counts = np.unique(flat[order], return_index=True, return_counts=True)
-    holders = owner[order]
+    holders, held = owner[order], share[order]
     numbers = {c: i for i, c in enumerate(dict.fromkeys(comps))}
     comp = np.array([numbers[c] for c in comps])
     links = []
@@ -250,10 +257,19 @@ def _link(table: pa.Table) -> pa.Table:
         if (comp == comp[u]).all():
             break
         at = np.searchsorted(values, items[u])
-        overlap = np.bincount(holders[ranges(begins[at], counts[at])], minlength=len(items))
+        near = ranges(begins[at], counts[at])
+        overlap = np.bincount(holders[near], minlength=len(items))
         maybe = (overlap > 0) & (comp != comp[u]) & ((sides != sides[u]) if sides[0] != sides[-1] else True)
-        sure = maybe & plain & plain[u] & (overlap >= (THRESHOLD - 1e-9) * (sizes + sizes[u] - overlap))
-        tested = [*np.flatnonzero(sure), *np.flatnonzero(maybe & ~(plain & plain[u]))]
+        exact = plain & plain[u]
+        sure = exact & (overlap >= (THRESHOLD - 1e-9) * (sizes + sizes[u] - overlap))
+        if exact.all():
+            maybe &= sure
+        else:
+            own = np.repeat(share[borders[u] : borders[u + 1]], counts[at])
+            common = np.bincount(holders[near], np.minimum(held[near], own), minlength=len(items))
+            maybe &= np.where(exact, sure, common >= THRESHOLD - 1e-9)
+            sure |= ~exact & (common >= THRESHOLD * (2 - common))
+        tested = [*np.flatnonzero(maybe & sure), *np.flatnonzero(maybe & ~sure)]
         for v in tested:
             if comp[v] == comp[u]:
                 continue
