@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, name):
 
 def test_one_query_per_operator():
     numbers = [name.split("_")[0] for name in queries.QUERIES if name != "pipeline"]
-    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 11))
+    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 14))
 
 
 def test_pipeline(spark):

@@ -223,8 +223,9 @@ class Merges:
             at = moved[chosen]
             word, symbol, rank = word[keep], symbol[keep], rank[keep]
             rank[at[at == len(symbol) - 1]] = never
-            changed = np.unique(np.concatenate([at, at - 1]))
-            changed = changed[(changed >= 0) & (changed < len(symbol) - 1)]
+            touched = np.zeros(len(symbol) + 1, bool)  # the last place takes what is before the first
+            touched[at] = touched[at - 1] = True
+            changed = np.flatnonzero(touched[: max(len(symbol) - 1, 0)])
             rank[changed] = ranks(changed)
         if not done_words:
             return np.zeros(0, np.int64), np.zeros(len(borders) - 1, np.int64)
