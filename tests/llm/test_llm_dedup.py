@@ -81,6 +81,46 @@ def test_cuts_have_the_smallest_capacity(spark, monkeypatch, knots):
         assert max(np.diff([0, *cuts])) == greedy(sizes, parts)
 
 
+def local_knots(ends, windows, knots):
+    """The same as the query, over an array."""
+    found, alone = [], []
+    for a, b in windows:
+        inside = ends[(ends > a) & (ends <= b)]
+        piece = (inside - (a + 1)) // max(1, -(-(b - a) // knots))
+        first = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+        last = np.append(first[1:], len(inside))
+        found.append(inside[last - 1])
+        alone.append(last - first == 1)
+    return np.concatenate(found), np.concatenate(alone)
+
+
+def filled(ends, capacity):
+    """How many parts a greedy fill needs."""
+    at, parts = 0, 0
+    while at < ends[-1]:
+        after = int(ends[np.searchsorted(ends, at + capacity, side="right") - 1])
+        if after == at:
+            return len(ends) + 1
+        at, parts = after, parts + 1
+    return parts
+
+
+@pytest.mark.parametrize("parts", [24, 256, 1024])
+def test_many_shards_end(monkeypatch, parts):
+    rounds = []
+    monkeypatch.setattr(sharding, "_knots", lambda ends, w, k: rounds.append(k) or local_knots(ends, w, k))
+    for seed in range(3):
+        draw = np.random.default_rng(seed)
+        sizes = (8 + draw.pareto(1.5, 15_000) * 200).astype(np.int64).clip(8, 10**6)
+        ends = np.cumsum(sizes)
+        rounds.clear()
+        cuts = sharding.minimax_cuts(ends, int(ends[-1]), parts)
+        capacity = int(max(np.diff([0, *cuts])))
+        assert len(cuts) == parts and np.isin(cuts, [0, *ends]).all()
+        assert filled(ends, capacity) <= parts < filled(ends, capacity - 1)
+        assert len(rounds) < 30 and max(rounds) <= 2 * sharding.KNOTS + 8 * parts**2
+
+
 def test_shards(edge_docs, make_docs, words):
     docs = edge_docs.unionByName(make_docs([" ".join(words[i : i + 9]) for i in range(300)], range(100, 400)))
     rows = sharding.assign_shards(docs, 5).collect()

@@ -32,7 +32,7 @@ def test_top_k(spark, monkeypatch, per_pivot):
     base = draw.normal(size=(12, 6))
     rows = [(i, (base[i % 12] + draw.normal(0, 0.2, 6)).astype(np.float32).tolist()) for i in range(300)]
     rows += [(300 + i, rows[7][1]) for i in range(100)]  # one vector that a fourth of all rows have
-    rows += [(900, None), (901, [None] * 6), (902, [1.0, float("nan"), 0, 0, 0, 0]), (903, [float("inf")] + [0.0] * 5), (904, [])]
+    rows += [(900, None), (901, [None] * 6), (902, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0]), (903, [float("inf")] + [0.0] * 5), (904, [])]
     rows += [(905, [0.0] * 6)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, v string, score int")
     got = mtree.search(df, df.where("vec_id % 20 = 0"), 7).collect()

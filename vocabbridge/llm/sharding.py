@@ -118,13 +118,15 @@ class Prefixes:
         return Prefixes(ends[order], closed[order])
 
 
-def _knots(prefixes: DataFrame, windows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The last prefix sum in each of ``KNOTS`` equal pieces of each window."""
+def _knots(
+    prefixes: DataFrame, windows: list[tuple[int, int]], knots: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The last prefix sum in each of ``knots`` equal pieces of each window."""
     piece: Column = F.lit(None).cast("long")
     for number, (a, b) in enumerate(windows):
         inside = (F.col("end") > a) & (F.col("end") <= b)
-        step = max(1, -(-(b - a) // KNOTS))
-        piece = F.when(inside, F.lit(number * (KNOTS + 1)) + F.expr(f"(end - {a + 1}) div {step}")).otherwise(piece)
+        step = max(1, -(-(b - a) // knots))
+        piece = F.when(inside, F.lit(number * (knots + 1)) + F.expr(f"(end - {a + 1}) div {step}")).otherwise(piece)
     found = (
         prefixes.select("end", piece.alias("piece"))
         .where(F.col("piece").isNotNull())
@@ -142,12 +144,16 @@ def minimax_cuts(prefixes: DataFrame, total: int, parts: int) -> list[int]:
     Of the cuts with that capacity the most even ones are taken, so the last part is not
     what a greedy fill leaves over.
     """
-    windows = [(0, total)]
-    known = Prefixes(np.array([total]), np.array([False]))
+    known, windows, knots = Prefixes(np.array([total]), np.array([False])), [(0, total)], KNOTS
+
+    def look(windows, known, knots):
+        return known.refined(windows, *_knots(prefixes, windows, knots))
+
     while windows:
-        known = known.refined(windows, *_knots(prefixes, windows))
+        known, before = look(windows, known, knots), windows
         low, high = known.smallest(parts, True), known.smallest(parts, False)
         windows = known.open_windows(known.cuts(low, parts, False), known.cuts(high, parts, True))
+        knots = finer(knots, before, windows)
     capacity = known.smallest(parts, False)
     while True:
         cuts = known.even_cuts(capacity, parts)
@@ -158,7 +164,20 @@ def minimax_cuts(prefixes: DataFrame, total: int, parts: int) -> list[int]:
         )
         if not windows:
             return cuts
-        known = known.refined(windows, *_knots(prefixes, windows))
+        knots = finer(knots, before, windows)
+        known, before = look(windows, known, knots), windows
+
+
+def finer(knots: int, before: list[tuple[int, int]], windows: list[tuple[int, int]]) -> int:
+    """Twice the knots unless the widest window has at least halved.
+
+    What is not known of one cut adds up over the cuts before it, so the windows of
+    neighbouring cuts grow together until there are about as many knots as the square of
+    the parts.  Either way the widest piece halves in every round, so the search ends, when
+    every group has a piece of its own at the latest.
+    """
+    widest = [max((b - a for a, b in w), default=0) for w in (before, windows)]
+    return knots * 2 if widest[1] * 2 > widest[0] else knots
 
 
 def _own_shards(groups: DataFrame, total: int, shards: int) -> list[tuple[bytes, int]]:
