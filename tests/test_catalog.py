@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from vocabbridge.catalog import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -21,7 +22,8 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.all_queries()) == set(registry.all_sql())
+    assert set(registry.all_queries()) <= set(entry.queries())
 
 
 def test_flagship(spark):
@@ -30,11 +32,11 @@ def test_flagship(spark):
     assert row.mean_bleu == pytest.approx(0.757519)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.all_queries()))
 def test_query_equals_sql(spark, duck, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = registry.all_queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(registry.all_sql()[name])
     assert sorted(d[0] for d in result.description) == columns
     places = [[d[0] for d in result.description].index(c) for c in columns]
     expected = sorted((tuple(row[p] for p in places) for row in result.fetchall()), key=repr)

@@ -1,8 +1,12 @@
+import random
+
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from vocabbridge.operators import buffers as B
 from vocabbridge.operators import packing as P
 from vocabbridge.streaming import feed as S
 
@@ -74,15 +78,88 @@ def test_buffers_close_with_the_row_that_fills_them(spark):
     span=st.integers(1, 5),
 )
 def test_buffers_match_a_sequential_walk(spark, lengths, limit, span):
-    expected, start, filled = [], 0, 0
+    df = spark.createDataFrame(list(enumerate(lengths)), "row_idx bigint, n bigint")
+    got = P.assign_buffers(df, "n", limit, span, fan=3).orderBy("row_idx").collect()
+    assert [r.buffer for r in got] == walk(lengths, limit)
+
+
+def walk(lengths, limit):
+    """The first row of each row's buffer, one row after the other."""
+    out, start, filled = [], 0, 0
     for n, length in enumerate(lengths):
         if filled >= limit:
             start, filled = n, 0
-        expected.append(start)
+        out.append(start)
         filled += length
+    return out
+
+
+def test_buffers_over_three_levels(spark, few_partitions):
+    draw = random.Random(4)
+    lengths = [draw.choice([0, 1, 2, 5, 30]) for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "row_idx bigint, n bigint")
+    scan = B.Buffers(df, "n", 7, span=3, fan=8)
+    assert len(scan.levels) == 4 and scan.total == sum(lengths)
+    got = scan.numbered([(0, 0)]).orderBy("row_idx").collect()
+    assert [r.buffer for r in got] == walk(lengths, 7)
+    assert len(scan.whole().upto) <= 8
+
+
+def test_no_rows_give_no_buffers(spark):
+    none = spark.createDataFrame([], "row_idx bigint, n bigint")
+    assert P.assign_buffers(none, "n", 5).count() == 0
+    placed, _ = P.repeated_buffers(none, "n", 5, 2)
+    assert placed.count() == 0
+
+
+def steps_of(draw, low):
+    n = draw.randint(1, 4)
+    upto = sorted(draw.sample(range(low, low + 12), n))
+    return B.Steps(*(np.array(v) for v in (upto, [draw.randint(low + 12, low + 20) for _ in upto], range(low, low + n))))
+
+
+def test_composition_is_associative():
+    draw = random.Random(2)
+    for _ in range(200):
+        a, b, c = (steps_of(draw, low) for low in (0, 10, 20))
+        for left, right in ((a.then(b).then(c), a.then(b.then(c))),):
+            for enter in range(33):
+                if enter <= a.upto[-1]:
+                    assert left.step(enter) == right.step(enter)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    lengths=st.lists(st.one_of(st.integers(0, 9), st.just(40)), min_size=1, max_size=12),
+    limit=st.sampled_from([1, 3, 7.5, 12, 30, 200]),
+    epochs=st.integers(1, 6),
+)
+def test_repeated_buffers_match_a_sequential_walk(spark, few_partitions, lengths, limit, epochs):
+    n = len(lengths)
+    expected = {}
+    for seq, start in enumerate(walk(lengths * epochs, limit)):
+        expected.setdefault((start // n, start % n), []).append((seq % n, seq - start // n * n))
+    df = spark.createDataFrame(list(enumerate(lengths)), "row_idx bigint, n bigint")
+    placed, table = P.repeated_buffers(df, "n", limit, epochs, span=2)
+    got = {}
+    for r in placed.join(table, "class").orderBy("place").collect():
+        got.setdefault((r.epoch, r.buffer), []).append((r.row_idx, r.place))
+    assert got == expected
+
+
+def test_epochs_run_into_a_cycle(spark):
+    lengths = [3, 4, 5]
     df = spark.createDataFrame(list(enumerate(lengths)), "row_idx bigint, n bigint")
-    got = P.assign_buffers(df, "n", limit, span).orderBy("row_idx").collect()
-    assert [r.buffer for r in got] == expected
+    scan = B.Buffers(df, "n", 5)
+    cycle = B.Epochs(scan.whole(), scan.total)
+    starts = walk(lengths * 40, 5)
+    for epoch in range(40):
+        first = next((s for s in starts if s // 3 == epoch), None)
+        begins = [0, 3, 7]
+        assert first == epoch * 3 + next(i for i, b in enumerate(begins) if b >= cycle.enter(epoch))
+    placed, table = P.repeated_buffers(df, "n", 5, 40)
+    assert table.count() == 40
+    assert table.select("class").distinct().count() <= len(cycle.enters) + 1 <= 4
 
 
 def test_buffered_feed_drops_tails_and_shuffles_inside(spark):

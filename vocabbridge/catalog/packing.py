@@ -15,6 +15,9 @@ BLOCK = 128
 # Characters a buffer holds: 8 blocks at 3.6 characters per token.
 LIMIT = P.buffer_limit(BLOCK, 3.6, 8)
 EOS = 1_000_002
+# Row at which the rotated feed starts, and rows of the corpus that is shorter than a buffer.
+ROTATED = 10
+SHORT = 7
 
 
 def _lines(blocks, *keys):
@@ -101,11 +104,33 @@ def buffered_feed_shuffled(spark, folder):
     return _lines(examples, "buffer", "block", "place")
 
 
+def repeated_buffered_feed(spark, folder):
+    """The whole feed: rotated, read three times without a break, packed, shuffled in buffers."""
+    examples = S.feed(
+        _tokens_with_length(spark, folder), BLOCK, LIMIT, start=ROTATED, epochs=3, eos=EOS, seed=7
+    )
+    return _lines(examples, "epoch", "buffer", "block", "place")
+
+
+def repeated_short_buffers(spark, folder):
+    """Where buffers begin over five epochs, with buffers longer than an epoch."""
+    rows = _tokens_with_length(spark, folder).select("row_idx", "n_chars")
+    rows = rows.where(F.col("row_idx") < SHORT)
+    placed, table = P.repeated_buffers(rows, "n_chars", 2.5 * LIMIT, 5)
+    whole = placed.join(F.broadcast(table), "class")
+    return plain(
+        whole.groupBy("epoch", "buffer").agg(
+            F.count(F.lit(1)).alias("n_rows"), (F.max("place") - F.min("place") + 1).alias("n_places")
+        )
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         packed_blocks, packed_blocks_sharded, packed_blocks_with_end, packed_types, packed_feed,
         wrong_lengths, feed_buffers, buffered_blocks, buffered_feed_shuffled,
+        repeated_buffered_feed, repeated_short_buffers,
     )
 }
 
@@ -139,6 +164,22 @@ _BUFFERS = f"""chars AS (SELECT row_idx, length(text) AS n_chars FROM corpus),
       CASE WHEN w.filled >= {LIMIT} THEN c.n_chars ELSE w.filled + c.n_chars END
     FROM walk w JOIN chars c ON c.row_idx = w.row_idx + 1
   )"""
+
+
+def _walk_epochs(rows: str, epochs: int, limit: float) -> str:
+    """Buffers over repeated epochs, row by row; ``rows`` has ``row_idx`` (dense) and ``n_chars``."""
+    return f"""size AS (SELECT count(*) AS n FROM {rows}),
+  walk(seq, buffer, filled) AS (
+    SELECT 0::BIGINT, 0::BIGINT, n_chars FROM {rows} WHERE row_idx = 0
+    UNION ALL
+    SELECT w.seq + 1,
+      CASE WHEN w.filled >= {limit} THEN w.seq + 1 ELSE w.buffer END,
+      CASE WHEN w.filled >= {limit} THEN c.n_chars ELSE w.filled + c.n_chars END
+    FROM walk w JOIN size ON w.seq + 1 < {epochs} * n JOIN {rows} c ON c.row_idx = (w.seq + 1) % n
+  ),
+  begun AS (SELECT seq, seq % n AS row_idx, buffer // n AS epoch, buffer % n AS buffer FROM walk, size)"""
+
+
 _B = f"WITH RECURSIVE {CORPUS},{SRC},{_BUFFERS}"
 
 SQL = {
@@ -178,4 +219,19 @@ SQL = {
         {_cut_sql('buffer', 'tok', BLOCK, '')}
         SELECT buffer, block, n_ids, ids_md5, row_number() OVER (PARTITION BY buffer
           ORDER BY md5('7:' || buffer || ':' || block), block) - 1 AS place FROM cut_blocks""",
+    "repeated_buffered_feed": f"""WITH RECURSIVE {CORPUS},{SRC},
+        turned AS (SELECT (row_idx - {ROTATED} + (SELECT count(*) FROM corpus)) % (SELECT count(*) FROM corpus) AS row_idx,
+          row_idx AS stored_idx, length(text) AS n_chars FROM corpus),
+        {_walk_epochs("turned", 3, LIMIT)},
+        tok AS (SELECT epoch, buffer, seq, pos, token_id
+          FROM src_tok s JOIN turned t ON s.row_idx = t.stored_idx JOIN begun b ON b.row_idx = t.row_idx
+          UNION ALL SELECT epoch, buffer, seq, 1000000000000, {EOS} FROM begun),
+        {_cut_sql('epoch, buffer', 'tok', BLOCK, '', 'seq')}
+        SELECT CAST(epoch AS INTEGER) AS epoch, buffer, block, n_ids, ids_md5, row_number() OVER (PARTITION BY epoch, buffer
+          ORDER BY md5('7:' || epoch || ':' || buffer || ':' || block), block) - 1 AS place FROM cut_blocks""",
+    "repeated_short_buffers": f"""WITH RECURSIVE {CORPUS},
+        short AS (SELECT row_idx, length(text) AS n_chars FROM corpus WHERE row_idx < {SHORT}),
+        {_walk_epochs("short", 5, 2.5 * LIMIT)}
+        SELECT CAST(epoch AS INTEGER) AS epoch, buffer, count(*) AS n_rows, max(seq) - min(seq) + 1 AS n_places
+        FROM begun GROUP BY epoch, buffer""",
 }

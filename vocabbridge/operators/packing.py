@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from typing import Any
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vocabbridge.functions.hashing import hash_order
 from vocabbridge.functions.sequences import full_mask
-from vocabbridge.operators.rowindex import contiguous_part, running_before
-from vocabbridge.storage import stored
+from vocabbridge.operators.buffers import assign_buffers, repeated_buffers
+from vocabbridge.operators.rowindex import contiguous_part
 
 # Defaults of the packing step.
 PACK_BATCH_ROWS = 1000
@@ -101,93 +97,6 @@ def buffer_limit(block: int, chars_per_token: float, sequences: int) -> float:
     return block * chars_per_token * sequences
 
 
-def assign_buffers(rows: DataFrame, length: str, limit: float, span: int = 64) -> DataFrame:
-    """Add ``buffer``: the ``row_idx`` at which the row's buffer starts.
-
-    A buffer takes rows until their lengths add up to ``limit`` or more; the row that
-    gets there is its last.  A buffer that starts at running length ``p`` is thus
-    followed by one that starts at the first row whose running length is at least
-    ``p + limit``.  Rows are grouped into stretches of ``span * limit`` characters.
-    Each stretch reports, for every place a buffer may enter it, where the buffers
-    leave it: a short step function, as buffers from different places soon fall into
-    step.  Only those functions are chained one after the other; then each stretch
-    numbers its own rows.
-    """
-    narrow = running_before(rows.select("row_idx", length), "row_idx", length, "pos")
-    reach = float(limit)
-    stretches = stored(
-        narrow.select(
-            "row_idx",
-            F.col("pos").cast("double").alias("pos"),
-            F.floor(F.col("pos") / F.lit(reach * span)).alias("stretch"),
-        ),
-        "stretches",
-    )
-
-    def follow(pos: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Last buffer start reached from each row of ``at``, and its place."""
-        step = np.searchsorted(pos, pos + reach)
-        last = at.copy()
-        moving = step[last] < len(pos)
-        while moving.any():
-            last[moving] = step[last[moving]]
-            moving = step[last] < len(pos)
-        return pos[last], last
-
-    def summarise(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx", ignore_index=True)
-        pos, rows_here = pdf["pos"].to_numpy(), pdf["row_idx"].to_numpy()
-        stop = int(np.searchsorted(pos, key[0] * reach * span + reach)) + 1
-        entries = np.unique(np.searchsorted(pos, pos[: min(stop, len(pos))]))
-        leave, last = follow(pos, entries)
-        leave = leave + reach
-        # Neighbouring entries that leave alike are one step of the function.
-        ends = np.append(np.flatnonzero(np.diff(last)), len(entries) - 1)
-        return pd.DataFrame(
-            {
-                "stretch": key[0],
-                "upto": pos[entries[ends]],
-                "leave": leave[ends],
-                "start_row": rows_here[last[ends]],
-            }
-        )
-
-    steps = stretches.groupBy("stretch").applyInPandas(
-        summarise, "stretch bigint, upto double, leave double, start_row bigint"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        enter, open_row, out = 0.0, 0, []
-        for stretch, part in pdf.sort_values(["stretch", "upto"]).groupby("stretch", sort=True):
-            out.append((stretch, enter, open_row))
-            at = int(np.searchsorted(part["upto"].to_numpy(), enter))
-            if at < len(part):
-                enter, open_row = part["leave"].iat[at], part["start_row"].iat[at]
-        return pd.DataFrame(out, columns=["stretch", "enter", "open_row"])
-
-    chained = steps.groupBy(F.lit(0).alias("all")).applyInPandas(
-        chain, "stretch bigint, enter double, open_row bigint"
-    )
-
-    def number(key: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("row_idx", ignore_index=True)
-        pos, rows_here = left["pos"].to_numpy(), left["row_idx"].to_numpy()
-        buffer = np.full(len(pos), right["open_row"].iat[0])
-        at = int(np.searchsorted(pos, right["enter"].iat[0]))
-        while at < len(pos):
-            after = int(np.searchsorted(pos, pos[at] + reach))
-            buffer[at:after] = rows_here[at]
-            at = after
-        return pd.DataFrame({"row_idx": rows_here, "buffer": buffer})
-
-    numbered = (
-        stretches.groupBy("stretch")
-        .cogroup(chained.groupBy("stretch"))
-        .applyInPandas(number, "row_idx bigint, buffer bigint")
-    )
-    return rows.join(numbered, "row_idx")
-
-
 def pack_buffers(tokens: DataFrame, block: int, length: str, limit: float) -> DataFrame:
     """Blocks cut inside buffers of ``limit`` characters, short tails dropped.
 
@@ -198,9 +107,24 @@ def pack_buffers(tokens: DataFrame, block: int, length: str, limit: float) -> Da
     return cut_blocks(buffered, ["buffer"], "row_idx", block, keep_short=False)
 
 
+def pack_repeated_buffers(
+    tokens: DataFrame, block: int, length: str, limit: float, epochs: int
+) -> DataFrame:
+    """As :func:`pack_buffers` over a corpus that is read ``epochs`` times without a break.
+
+    Adds ``epoch``, the one in which the buffer begins; a buffer runs on into the next
+    epoch.  Only epochs that differ are cut, the others take over their blocks.
+    """
+    placed, table = repeated_buffers(tokens.select("row_idx", length), length, limit, epochs)
+    rows = placed.join(tokens.select("row_idx", "input_ids"), "row_idx")
+    blocks = cut_blocks(rows, ["class", "buffer"], "place", block, keep_short=False)
+    # One row per epoch.
+    return blocks.join(F.broadcast(table), "class").drop("class")
+
+
 def shuffle_in_buffer(blocks: DataFrame, seed: int | str = 0) -> DataFrame:
     """Add ``place``: a seeded permutation of the blocks inside their buffer."""
-    shuffled = W.partitionBy("buffer").orderBy(
-        hash_order(seed, F.col("buffer"), F.col("block")), "block"
-    )
+    buffer = [c for c in ("epoch", "buffer") if c in blocks.columns]
+    order = hash_order(seed, *[F.col(c) for c in buffer], F.col("block"))
+    shuffled = W.partitionBy(*buffer).orderBy(order, "block")
     return blocks.withColumn("place", F.row_number().over(shuffled) - 1)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocabbridge.functions.sequences import has_length
-from vocabbridge.operators.packing import append_end, pack_buffers, shuffle_in_buffer
+from vocabbridge.operators.packing import append_end, pack_buffers, pack_repeated_buffers, shuffle_in_buffer
 from vocabbridge.operators.rowindex import repeat, rotate, strided_shard
 
 
@@ -38,10 +38,18 @@ def buffered_feed(
     eos: int | None = None,
     shuffle: bool = True,
     seed: int | str = 0,
+    epochs: int | None = None,
 ) -> DataFrame:
-    """Examples packed from unpacked rows, buffer by buffer; shuffled inside the buffer."""
+    """Examples packed from unpacked rows, buffer by buffer; shuffled inside the buffer.
+
+    With ``epochs`` the corpus is repeated before buffers are filled, so a buffer may
+    hold the end of one epoch and the begin of the next; ``epoch`` says where it began.
+    """
     rows = tokens if eos is None else append_end(tokens, eos)
-    blocks = pack_buffers(rows, seq_length, length, limit)
+    if epochs is None:
+        blocks = pack_buffers(rows, seq_length, length, limit)
+    else:
+        blocks = pack_repeated_buffers(rows, seq_length, length, limit, epochs)
     if shuffle:
         blocks = shuffle_in_buffer(blocks, seed)
     return as_examples(blocks)
@@ -57,19 +65,17 @@ def feed(
     workers: int = 1,
     **options,
 ) -> DataFrame:
-    """The whole feed: rotation, then packing or pass-through, then repeats.
+    """The whole feed: rotation, repeats, then packing or pass-through.
 
     Several readers each take every ``workers``-th row as it is stored.  A single
     reader packs rows that still have a length column to fill buffers with, and
-    passes packed rows through.
+    passes packed rows through.  The feed order is (epoch, row or buffer, ...).
     """
     ordered = df
     if start:
         ordered = rotate(df, start).withColumn("row_idx", F.col("feed_idx")).drop("feed_idx")
     if worker is not None:
-        examples = as_examples(strided_shard(ordered, worker, workers))
-    elif options.get("length", "n_chars") in df.columns:
-        examples = buffered_feed(ordered, seq_length, limit, **options)
-    else:
-        examples = packed_feed(ordered, seq_length)
-    return repeat(examples, epochs)
+        return repeat(as_examples(strided_shard(ordered, worker, workers)), epochs)
+    if options.get("length", "n_chars") in df.columns:
+        return buffered_feed(ordered, seq_length, limit, epochs=epochs, **options)
+    return repeat(packed_feed(ordered, seq_length), epochs)
