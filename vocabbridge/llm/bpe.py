@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from vocabbridge.llm.blocks import Slice, mix, ranges, slices, strings
+from vocabbridge.llm.blocks import Slice, frugal, mix, ranges, slices, strings
 
 # Words in the lexicon at most, and the longest, in bytes.
 LEXICON_WORDS = 65_536
@@ -409,7 +409,7 @@ def word_counts(docs: DataFrame, text: str, special: bytes) -> DataFrame:
                     [found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "n"]
                 )
 
-    return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(frugal(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, merges: Merges, text: str = "text") -> Lexicon:
@@ -483,7 +483,7 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
 
     columns = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = columns.schema["doc_id"].dataType.simpleString()
-    return columns.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return columns.mapInArrow(frugal(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -519,7 +519,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "input_ids
                 )
 
     fields = docs.withColumn(out, F.lit(None).cast("array<int>")).schema
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(frugal(run), fields)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "input_ids", out: str = "text") -> DataFrame:
@@ -540,4 +540,4 @@ def decode(rows: DataFrame, path: str, ids: str = "input_ids", out: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out])
 
     fields = rows.select(*kept).withColumn(out, F.lit(None).cast("string")).schema
-    return rows.select(*kept).mapInArrow(run, fields)
+    return rows.select(*kept).mapInArrow(frugal(run), fields)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocabbridge.llm.ordered import bit_table, may_contain
+from vocabbridge.llm.blocks import frugal
 from vocabbridge.storage import stored
 
 # A fingerprint has 64 bits.  The top RANGE_BITS say which range of quotients it is in.
@@ -160,7 +161,7 @@ def repeated_fingerprints(prints: DataFrame, column: str = "fp") -> DataFrame:
         many = held[1] > 1
         return pa.table({"fp": held[0][many].view(np.int64), "count": held[1][many]})
 
-    filters = prints.where(F.col(column).isNotNull()).select(column).mapInArrow(build, "range int, filter binary")
+    filters = prints.where(F.col(column).isNotNull()).select(column).mapInArrow(frugal(build), "range int, filter binary")
     return filters.groupBy("range").applyInArrow(merge, "fp long, count long")
 
 

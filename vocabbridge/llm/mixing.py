@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vocabbridge.llm.blocks import mix as mix_bits
+from vocabbridge.llm.blocks import frugal, mix as mix_bits
 from vocabbridge.llm.ordered import running
 from vocabbridge.operators.rowindex import running_before
 from vocabbridge.storage import stored
@@ -140,7 +140,7 @@ def drawn_blocks(slots: DataFrame) -> DataFrame:
                     names=["number", "block"],
                 )
 
-    return slots.select("number", "blocks", "first", "n").mapInArrow(expand, "number int, block long")
+    return slots.select("number", "blocks", "first", "n").mapInArrow(frugal(expand), "number int, block long")
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocabbridge.llm.blocks import Slice, mix, ranges, slices, word_hashes, words
+from vocabbridge.llm.blocks import Slice, frugal, mix, ranges, slices, word_hashes, words
 from vocabbridge.llm.graph import components
 from vocabbridge.llm.ordered import bit_table, may_contain
 from vocabbridge.storage import stored
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "d1", "d2", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), "doc_id long, d1 long, d2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def shingle_sets(docs: DataFrame, bits: DataFrame) -> DataFrame:
 
     needed = may_contain(docs, bits, F.xxhash64("doc_id")).where(F.col("__hit") | F.col("doc_id").isNull())
     named = F.col("doc_id").isNotNull().cast("long").alias("named")
-    sets = needed.select("doc_id", "text", named).mapInArrow(run, "node long, items binary, weights binary")
+    sets = needed.select("doc_id", "text", named).mapInArrow(frugal(run), "node long, items binary, weights binary")
     return sets
 
 
@@ -210,7 +210,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         )
 
     joined = pairs.join(side("b"), "b").join(side("a"), "a")
-    return joined.select("a", "b", "items_a", "weights_a", "items_b", "weights_b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "items_a", "weights_a", "items_b", "weights_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def _pivot_pairs(members: DataFrame, *salt) -> DataFrame:

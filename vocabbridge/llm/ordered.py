@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocabbridge.llm.blocks import frugal
 from vocabbridge.storage import stored
 
 # Bits of a pre-filter.  The table has one row per 32 bits: at most 2**19 rows of two
@@ -43,7 +44,7 @@ def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "_part"])
 
     sorted_rows = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    table = stored(sorted_rows.mapInArrow(add, schema), "running")
+    table = stored(sorted_rows.mapInArrow(frugal(add), schema), "running")
     parts = table.groupBy("_part").agg(*[F.sum(f"_{n}_own").alias(f"_{n}_part") for n in sums])
     over = W.orderBy("_part")
     starts = parts.select(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vocabbridge.llm.blocks import Slice, slices, word_hashes, words
+from vocabbridge.llm.blocks import Slice, frugal, slices, word_hashes, words
 from vocabbridge.llm.ordered import running
 from vocabbridge.storage import stored
 
@@ -78,7 +78,7 @@ def gram_counts(docs: DataFrame, text: str) -> np.ndarray:
         some = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(flat[some])], names=["gram", "n"])
 
-    counted = docs.select(text).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = docs.select(text).mapInArrow(frugal(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = counted.toPandas()
     out = np.zeros(ORDERS * BUCKETS)
     out[rows["gram"]] = rows["n"]
@@ -118,7 +118,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text: str) -> DataFrame:
                 )
 
     typed = docs.withColumn("__weight", F.lit(None).cast("double")).withColumn("__grams", F.lit(None).cast("long"))
-    return docs.mapInArrow(run, typed.schema)
+    return docs.mapInArrow(frugal(run), typed.schema)
 
 
 def fit_curve(scores: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -209,6 +209,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     model = Model(docs, labels, doc_id, text)
     if model.ratios is None:
         return docs
-    scored = model.scores(docs.select(F.col(doc_id), F.col(text)))
-    drawn = model.drawn(stored(scored.drop(text), "scores"))
-    return model.scores(docs).where(drawn).select(*docs.columns)
+    scores = stored(model.scores(docs), "scores")
+    return scores.where(model.drawn(scores)).select(*docs.columns)
