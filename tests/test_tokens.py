@@ -6,7 +6,7 @@ from vocabbridge.functions.text import WORDS, WORDS_AND_MARKS, words
 from vocabbridge.operators import export as X
 from vocabbridge.operators import tokenise as K
 from vocabbridge.operators import vocabulary as V
-from vocabbridge.operators.lookup import lookup_ids, lookup_join, table_bytes
+from vocabbridge.operators.lookup import lookup_ids, lookup_join, lookup_values, table_bytes
 
 
 @pytest.fixture
@@ -70,11 +70,44 @@ def test_heavy_keys_are_dealt_out(spark):
 
 
 def test_lookup_of_ids_with_nulls_kept_in_place(spark):
-    df = spark.createDataFrame([(0, [5, 6, 5]), (1, []), (2, [8])], "row_idx bigint, ids array<int>")
-    mapping = spark.createDataFrame([(5, 50), (8, 80)], "k int, v int")
+    rows = [(0, [5, 6, None, 5]), (1, []), (2, [8]), (3, None), (4, [None]), (5, [6]), (5, [8, 9])]
+    df = spark.createDataFrame(rows, "row_idx bigint, ids array<int>")
+    # A double key takes its smallest value; null keys and values are no entries.
+    mapping = spark.createDataFrame([(5, 50), (8, 81), (8, 80), (None, 7), (9, None)], "k int, v int")
+    for missing, expected in (
+        (-1, [[50, -1, -1, 50], [], [80], [], [-1], [-1], [80, -1]]),
+        (None, [[50, 50], [], [80], [], [], [], [80]]),
+    ):
+        for limit in (1 << 20, 0):
+            got = lookup_ids(df, F.col("ids"), mapping, "out", missing, limit_bytes=limit).orderBy("row_idx", F.size("out"))
+            assert sorted((r.row_idx, r.out) for r in got.collect()) == sorted(
+                (k, o) for (k, _), o in zip(rows, expected, strict=True)
+            )
+
+
+def test_lookup_in_many_buckets(spark):
+    df = spark.range(300).select(
+        F.col("id").alias("row_idx"),
+        F.transform(F.sequence(F.lit(0), F.col("id") % 7), lambda i: F.concat(F.lit("w"), (i * 31 + F.col("id")) % 50)).alias("w"),
+        F.lit("kept").alias("other"),
+    )
+    vocab = spark.range(45).select(F.concat(F.lit("w"), F.col("id")).alias("t"), F.col("id").alias("n"))
+    small = lookup_values(df, F.col("w"), vocab, "ids")
+    large = lookup_values(df, F.col("w"), vocab, "ids", limit_bytes=0, bucket_items=40)
+    assert small.columns == large.columns == ["row_idx", "w", "other", "ids"]
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    none = lookup_values(df.where("row_idx < 0"), F.col("w"), vocab, "ids", limit_bytes=0)
+    assert none.count() == 0
+    plan = large._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    # Rows travel by bucket; what travels by element are sets of buckets, one per element and task.
+    assert "hashpartitioning(_key" in plan and "collect_set" in plan and "posexplode" not in plan
+
+
+def test_rows_without_ids_are_decoded(spark, vocab):
+    df = spark.createDataFrame([(0, [0, 9, 1]), (1, []), (2, None)], "row_idx bigint, input_ids array<int>")
     for limit in (1 << 20, 0):
-        got = lookup_ids(df, F.col("ids"), mapping, "out", -1, limit_bytes=limit).orderBy("row_idx")
-        assert [r.out for r in got.collect()] == [[50, -1, 50], [], [80]]
+        got = K.decode(df, vocab, limit_bytes=limit).orderBy("row_idx").collect()
+        assert [r.decoded for r in got] == ["b 9 a", "", ""]
 
 
 def test_table_bytes_grows_with_rows(spark):

@@ -19,6 +19,12 @@ def mapped_targets(spark, folder):
     return plain(rows.select("sample_id", F.md5(ids_to_line(F.col("pred_ids"))).alias("pred_md5")))
 
 
+def mapped_targets_joined(spark, folder):
+    """The path for alignments too large to broadcast."""
+    rows = E.map_targets(pairs(spark, folder), overlap(spark, folder), limit_bytes=0)
+    return plain(rows.select("sample_id", F.md5(ids_to_line(F.col("pred_ids"))).alias("pred_md5")))
+
+
 def mapped_targets_strict(spark, folder):
     """Strict mapping: every target id is aligned, to its own id plus one."""
     full = target(spark, folder).vocab.select(
@@ -90,7 +96,7 @@ def overlap_score(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        mapped_targets, mapped_targets_strict, unmapped_ids, sentence_bleu, sentence_bleu_four,
+        mapped_targets, mapped_targets_joined, mapped_targets_strict, unmapped_ids, sentence_bleu, sentence_bleu_four,
         mean_bleu, unmapped_rate, mapping_histogram, mapping_summary, alignment_size, top_sources,
         sample_preview, mean_cosine, overlap_score,
     )
@@ -144,6 +150,7 @@ _HIST = """hist AS (
 
 SQL = {
     "mapped_targets": f"WITH {EVAL} {_PRED.format(id='coalesce(src_id, -1)')}",
+    "mapped_targets_joined": f"WITH {EVAL} {_PRED.format(id='coalesce(src_id, -1)')}",
     "mapped_targets_strict": f"WITH {EVAL} {_PRED.format(id='tgt_id + 1')}",
     "unmapped_ids": f"WITH {EVAL} SELECT tgt_id, count(*) AS cnt FROM occ WHERE src_id IS NULL GROUP BY tgt_id",
     "sentence_bleu": f"WITH {EVAL},{_bleu_sql((1.0, 0, 0, 0))} SELECT sample_id, round(bleu, 6) AS bleu FROM bleu",

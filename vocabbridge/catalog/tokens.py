@@ -127,6 +127,13 @@ def decoded_frequent(spark, folder):
     return shown.select("row_idx", F.md5("decoded").alias("decoded_md5"))
 
 
+def decoded_joined(spark, folder):
+    """The path for vocabularies too large to broadcast."""
+    side = target(spark, folder)
+    shown = K.decode(side.rows.select("row_idx", "input_ids"), side.vocab, limit_bytes=0)
+    return shown.select("row_idx", F.md5("decoded").alias("decoded_md5"))
+
+
 def token_lines(spark, folder):
     train = source(spark, folder).rows.where(F.col("split") == "train")
     lines = X.token_lines(train, min_tokens=20)
@@ -185,7 +192,7 @@ QUERIES = {
     for f in (
         tokenise_words, tokenise_words_and_marks, tokenise_special_tokens, tokenise_frequent_only,
         tokenise_joined, tokenise_library, tokenised_rows, source_vocabulary, target_vocabulary,
-        frequent_tokens, vocabulary_sizes, extended_vocabulary, decoded_rows, decoded_frequent,
+        frequent_tokens, vocabulary_sizes, extended_vocabulary, decoded_rows, decoded_frequent, decoded_joined,
         token_lines, token_lines_head, paired_rows, paired_training_rows, line_round_trip,
         vocabulary_overlap, overlap_ratio,
     )
@@ -232,6 +239,8 @@ SQL = {
         FROM firsts""",
     "decoded_rows": f"""{_T} SELECT row_idx, md5(string_agg(token, ' ' ORDER BY pos)) AS decoded_md5
         FROM tgt_word GROUP BY row_idx""",
+    "decoded_joined": f"""{_T} SELECT row_idx, md5(string_agg(token, ' ' ORDER BY pos)) AS decoded_md5
+        FROM tgt_word GROUP BY row_idx""",
     "decoded_frequent": f"""{_T} SELECT row_idx,
         md5(string_agg(CASE WHEN cnt >= 5 THEN token ELSE CAST(token_id AS VARCHAR) END, ' ' ORDER BY pos)) AS decoded_md5
         FROM tgt_word JOIN tgt_vocab USING (token) GROUP BY row_idx""",

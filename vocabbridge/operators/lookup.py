@@ -7,11 +7,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from vocabbridge.storage import stored
 
 # A table is broadcast only if its measured size is at most this.
 BROADCAST_BYTES = 64 << 20
-# At most this many keys are treated as heavy; the table of heavy keys is broadcast.
-HEAVY_KEYS = 1024
+# Elements of the arrays that are resolved together in one task, and the most keys that
+# get copies: no key with fewer than one in so many rows weighs on a task.
+BUCKET_ITEMS = 1_000_000
+HEAVY_SHARE = 1 << 21
 # A heavy key gets one copy per this many rows.
 ROWS_PER_COPY = 1_000_000
 
@@ -40,19 +45,18 @@ def lookup_join(
 ) -> DataFrame:
     """``facts`` joined to ``dim``, which has at most a few rows per ``key``.
 
-    A ``dim`` measured to be small is broadcast.  A larger one is shuffled, with the
-    heaviest fact keys dealt out over several copies of their ``dim`` rows by a hash
+    A ``dim`` measured to be small is broadcast.  A larger one is shuffled, with all
+    heavy fact keys dealt out over several copies of their ``dim`` rows by a hash
     of the ``spread`` columns; how many copies a key gets only moves work around.
     """
     if table_bytes(dim) <= limit_bytes:
         return facts.join(F.broadcast(dim), key, how)
-    heavy = (
-        facts.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > rows_per_copy)
-        .orderBy(F.desc("_rows"))
-        .limit(HEAVY_KEYS)
-        .select(key, F.ceil(F.col("_rows") / rows_per_copy).cast("int").alias("_copies"))
+    counts = stored(facts.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")), "key-counts")
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    per_copy = max(rows_per_copy, total // HEAVY_SHARE)
+    # More rows than a share of the total: at most HEAVY_SHARE keys, some 16 bytes each.
+    heavy = counts.where(F.col("_rows") > per_copy).select(
+        key, F.ceil(F.col("_rows") / per_copy).cast("int").alias("_copies")
     )
     salt = F.pmod(F.xxhash64(*spread), F.coalesce("_copies", F.lit(1)).cast("bigint"))
     salted_facts = facts.join(F.broadcast(heavy), key, "left").withColumn("_salt", salt)
@@ -65,76 +69,122 @@ def lookup_join(
     ).drop("_salt")
 
 
-def lookup_ids(
+def unique_keys(mapping: DataFrame) -> DataFrame:
+    """``_key, _value`` of a two-column mapping: of a key's values the smallest, none null."""
+    key, value = mapping.columns
+    pairs = mapping.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    known = pairs.where(F.col("_key").isNotNull() & F.col("_value").isNotNull())
+    return known.groupBy("_key").agg(F.min("_value").alias("_value"))
+
+
+def lookup_values(
     df: DataFrame,
     items: Column,
     mapping: DataFrame,
     out: str,
-    missing: int | None = None,
     row_key: str = "row_idx",
     limit_bytes: int = BROADCAST_BYTES,
     drop: tuple[str, ...] = (),
+    bucket_items: int = BUCKET_ITEMS,
 ) -> DataFrame:
     """Add ``out``: the array ``items`` with each element replaced by its value in ``mapping``.
 
-    ``mapping`` has two columns, key and int value, keys unique.  Elements without a
-    value become ``missing``, or are left out if that is None.  Columns named in
-    ``drop`` end here, so they are not sent to the workers.  A mapping measured to
-    be small goes to the workers, which resolve whole Arrow batches: no shuffle.  A
-    larger one is joined element by element and the arrays are put together again.
+    ``mapping`` has two columns, key and value; of several values of a key the smallest
+    counts.  Null elements and those without a value are null in ``out``; a null array
+    gives an empty one.  Columns named in ``drop`` end here, so they are not sent to the
+    workers.
+
+    A mapping measured to be small goes to the workers, which resolve whole Arrow
+    batches: no shuffle.  For a larger one the rows are dealt to buckets; the different
+    elements of each bucket are joined with the mapping, come back as the bucket's own
+    dictionary, and the bucket resolves its arrays whole.  An element is in a bucket's
+    dictionary once however often it occurs, so no key is heavier than the number of
+    buckets, and arrays are never taken apart.
     """
-    key, value = mapping.columns
-    mapping = mapping.select(F.col(key).alias("_key"), F.col(value).cast("int").alias("_value"))
+    mapping = unique_keys(mapping)
     framed = df.withColumn("_items", items).drop(*drop)
+    kept = [c for c in framed.columns if c not in ("_items", out)]
+    value_type = mapping.schema["_value"].dataType
+    schema = T.StructType([framed.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(value_type))])
     if table_bytes(mapping) <= limit_bytes:
-        return _lookup_in_batches(framed, mapping, out, missing)
+        return _lookup_in_batches(framed.select(*kept, "_items"), mapping, schema)
+    return _lookup_in_buckets(framed.select(*kept, "_items"), mapping, schema, row_key, bucket_items)
 
-    # An outer explode: the plain one would add a filter that computes the array again.
-    elements = framed.select(row_key, F.posexplode_outer("_items").alias("_pos", "_key")).where(
-        F.col("_key").isNotNull()
-    )
-    found = lookup_join(elements, mapping, "_key", [row_key, "_pos"], "left", limit_bytes)
-    if missing is not None:
-        found = found.withColumn("_value", F.coalesce("_value", F.lit(missing)))
-    else:
-        found = found.where(F.col("_value").isNotNull())
-    arrays = found.groupBy(row_key).agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "_value"))).alias("_pairs")
-    )
-    empty = F.array().cast("array<int>")
-    values = F.coalesce(F.transform("_pairs", lambda p: p["_value"]), empty)
-    return framed.drop("_items").join(arrays, row_key, "left").withColumn(out, values).drop("_pairs")
 
+def _resolved(items: pa.Array, keys: pa.Array, values: pa.Array) -> pa.Array:
+    """A list array with each element's value, null where ``keys`` lack it."""
+    offsets = pc.subtract(items.offsets, items.offsets[0]).cast(pa.int32())
+    flat = items.flatten()
+    return pa.ListArray.from_arrays(offsets, values.take(pc.index_in(flat, value_set=keys.cast(flat.type))))
 
-def _lookup_in_batches(
-    framed: DataFrame, mapping: DataFrame, out: str, missing: int | None
-) -> DataFrame:
+
+def _lookup_in_batches(framed: DataFrame, mapping: DataFrame, schema: T.StructType) -> DataFrame:
     table = mapping.toArrow()
     shared = framed.sparkSession.sparkContext.broadcast(
         (table.column("_key").combine_chunks(), table.column("_value").combine_chunks())
     )
-    kept = [c for c in framed.columns if c not in ("_items", out)]
-    schema = T.StructType(
-        [framed.schema[c] for c in kept] + [T.StructField(out, T.ArrayType(T.IntegerType()))]
-    )
+    names = schema.fieldNames()
 
     def resolve(batches):
         keys, values = shared.value
         for batch in batches:
-            items = batch.column("_items")
-            flat = items.flatten()
-            offsets = pc.subtract(items.offsets, items.offsets[0])
-            resolved = values.take(pc.index_in(flat, value_set=keys.cast(flat.type)))
-            if missing is not None:
-                resolved = pc.fill_null(resolved, missing)
-            elif resolved.null_count:
-                filled = pc.cumulative_sum(pc.is_valid(resolved).cast(pa.int32()))
-                filled = pa.concat_arrays([pa.array([0], pa.int32()), filled])
-                offsets = filled.take(offsets)
-                resolved = resolved.drop_null()
-            arrays = pa.ListArray.from_arrays(offsets.cast(pa.int32()), resolved)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [arrays], names=[*kept, out]
-            )
-
-    return framed.select(*kept, "_items").mapInArrow(resolve, schema)
+            out = _resolved(batch.column(batch.num_columns - 1), keys, values)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=names)
+
+    return framed.mapInArrow(resolve, schema)
+
+
+def _lookup_in_buckets(
+    framed: DataFrame, mapping: DataFrame, schema: T.StructType, row_key: str, bucket_items: int
+) -> DataFrame:
+    total = framed.agg(F.sum(F.greatest(F.size("_items"), F.lit(0)))).first()[0] or 0
+    buckets = max(1, -(-total // bucket_items))
+    dealt = framed.withColumn("_bucket", F.pmod(F.xxhash64(row_key), F.lit(buckets)).cast("int"))
+    rows = dealt.repartition(buckets, "_bucket")
+    # Buckets are whole in their tasks, so sets of buckets are put together before they travel.
+    wanted = (
+        rows.select("_bucket", F.explode(F.array_distinct("_items")).alias("_key"))
+        .where(F.col("_key").isNotNull())
+        .groupBy("_key")
+        .agg(F.collect_set("_bucket").alias("_buckets"))
+    )
+    entries = wanted.join(mapping, "_key").select(F.explode("_buckets").alias("_bucket"), "_key", "_value")
+    dictionaries = entries.groupBy("_bucket").agg(F.collect_list(F.struct("_key", "_value")).alias("_entries"))
+    names, types = schema.fieldNames(), [framed.schema["_items"].dataType.elementType, schema.fields[-1].dataType.elementType]
+    key_type, value_type = (to_arrow_type(t) for t in types)
+
+    def resolve(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, values = pa.array([], key_type), pa.array([], value_type)
+        if right.num_rows:
+            entries = right.column("_entries").combine_chunks().flatten()
+            keys, values = entries.field("_key"), entries.field("_value")
+        columns = [left.column(n) for n in range(left.num_columns - 2)]
+        items = left.column(left.num_columns - 2).combine_chunks()
+        return pa.Table.from_arrays([*columns, _resolved(items, keys, values)], names=names)
+
+    return rows.groupBy("_bucket").cogroup(dictionaries.groupBy("_bucket")).applyInArrow(resolve, schema)
+
+
+def lookup_ids(
+    df: DataFrame,
+    items: Column,
+    mapping: DataFrame,
+    out: str,
+    missing: int | None = None,
+    row_key: str = "row_idx",
+    limit_bytes: int = BROADCAST_BYTES,
+    drop: tuple[str, ...] = (),
+) -> DataFrame:
+    """:func:`lookup_values` with int values.
+
+    Elements that are null or have no value become ``missing``, or are left out if that
+    is None.
+    """
+    key, value = mapping.columns
+    typed = mapping.select(key, F.col(value).cast("int").alias(value))
+    found = lookup_values(df, items, typed, out, row_key, limit_bytes, drop)
+    if missing is None:
+        values = F.array_compact(out)
+    else:
+        values = F.transform(out, lambda v: F.coalesce(v, F.lit(missing)))
+    return found.withColumn(out, values)

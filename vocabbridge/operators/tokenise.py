@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vocabbridge.functions.sequences import full_mask, with_special_tokens
 from vocabbridge.functions.text import words
-from vocabbridge.operators.lookup import BROADCAST_BYTES, lookup_ids
+from vocabbridge.operators.lookup import BROADCAST_BYTES, lookup_ids, lookup_values
 
 
 def text_column(df: DataFrame) -> str:
@@ -81,15 +81,19 @@ def token_count(ids: Column) -> Column:
     return F.size(ids)
 
 
-def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", row_key: str = "row_idx") -> DataFrame:
-    """Rows with ``decoded``: the tokens joined with a space, a bare id where unknown."""
-    from vocabbridge.operators.lookup import lookup_join
+def decode(
+    df: DataFrame,
+    vocab: DataFrame,
+    ids: str = "input_ids",
+    row_key: str = "row_idx",
+    limit_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Rows with ``decoded``: the tokens joined with a space, a bare id where unknown.
 
-    pieces = df.select(row_key, F.posexplode(ids).alias("_pos", "token_id"))
-    named = lookup_join(pieces, vocab.select("token_id", "token"), "token_id", [row_key, "_pos"])
-    shown = named.withColumn("_shown", F.coalesce("token", F.col("token_id").cast("string")))
-    joined = shown.groupBy(row_key).agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "_shown"))).alias("_pieces")
+    A row without ids is decoded to an empty text.
+    """
+    found = lookup_values(
+        df.select(row_key, ids), F.col(ids), vocab.select("token_id", "token"), "_tokens", row_key, limit_bytes
     )
-    text = F.array_join(F.transform("_pieces", lambda p: p["_shown"]), " ")
-    return joined.select(row_key, text.alias("decoded"))
+    shown = F.zip_with(ids, "_tokens", lambda i, token: F.coalesce(token, i.cast("string")))
+    return found.select(row_key, F.coalesce(F.array_join(shown, " "), F.lit("")).alias("decoded"))
