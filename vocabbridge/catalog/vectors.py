@@ -15,6 +15,8 @@ from vocabbridge.storage import stored
 
 WINDOW = 5
 DIMS = 4
+# The fit that is replayed in SQL.
+PASSES, BLOCKS, RATE = 3, 3, G.STRATA_RATE
 
 
 def _train(side):
@@ -69,7 +71,7 @@ def fit_loss(spark, folder):
 
 
 def fit_one_pass(spark, folder):
-    params = G.fit(_cooc(spark, folder), _ids(spark, folder), DIMS, passes=1, rate=0.05, block_pairs=100_000)
+    params = G.fit(_cooc(spark, folder), _ids(spark, folder), DIMS, passes=1, rate=0.05, block_pairs=100_000, schedule="batch")
     return plain(params.select("side", "id", F.posexplode("value").alias("d", "value")))
 
 
@@ -78,11 +80,33 @@ def final_vectors(spark, folder):
     return plain(vectors.select("id", F.posexplode("vector").alias("d", "value")))
 
 
+def _fitted(spark, folder):
+    """Parameters after three passes over three blocks, and the loss of each pass."""
+
+    def build():
+        losses = []
+        params = G.fit(
+            _cooc(spark, folder), _ids(spark, folder), DIMS, PASSES, rate=RATE, min_blocks=BLOCKS, block_pairs=1 << 40,
+            on_pass=lambda number, p: losses.append((number, p.agg(F.sum("loss")).first()[0])),
+        )
+        return params, losses
+
+    return stage(spark, folder, "fitted", build)
+
+
 def fitted_vectors(spark, folder):
-    """Several passes: the loss share and length of every fitted vector."""
-    params = G.fit(_cooc(spark, folder), _ids(spark, folder), dims=16, passes=3)
+    """The vectors of three passes, component by component."""
+    params, _ = _fitted(spark, folder)
     vectors = G.token_vectors(params, _ids(spark, folder))
-    return plain(vectors.select("token", "ord", F.size("vector").alias("dims")))
+    cells = vectors.select("token", "ord", F.posexplode("vector").alias("d", "value"))
+    return plain(cells.withColumn("value", F.round("value", 5)))
+
+
+def fit_losses(spark, folder):
+    """The objective over three passes."""
+    _, losses = _fitted(spark, folder)
+    rows = spark.createDataFrame(losses, "pass long, loss double")
+    return rows.select("pass", F.round("loss", 3).alias("loss"))
 
 
 def normalised_vectors(spark, folder):
@@ -95,7 +119,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vocabulary_positions, cooccurrence, cooccurrence_raw_distance, cooccurrence_totals,
-        initial_parameters, fit_loss, fit_one_pass, final_vectors, fitted_vectors, normalised_vectors,
+        initial_parameters, fit_loss, fit_one_pass, final_vectors, fitted_vectors, fit_losses, normalised_vectors,
     )
 }
 
@@ -129,6 +153,34 @@ errors AS (
     list_dot_product(w.v[1:{DIMS}], c.v[1:{DIMS}]) + w.v[{DIMS + 1}] + c.v[{DIMS + 1}] - ln(x) AS miss
   FROM cooc JOIN lists w ON w.side = 'w' AND w.id = i JOIN lists c ON c.side = 'c' AND c.id = j
 )"""
+
+
+def _replay() -> str:
+    """Every step of the fit: errors and slopes of a stratum, then the parameters after it."""
+    steps = [f"""p0 AS MATERIALIZED (SELECT side, id, d, v, CAST(1 AS DOUBLE) AS q FROM params)"""]
+    for n in range(PASSES * BLOCKS):
+        steps.append(f"""l{n} AS MATERIALIZED (SELECT side, id, list(v ORDER BY d) AS v FROM p{n} GROUP BY side, id),
+        e{n} AS MATERIALIZED (
+          SELECT i, j, least(1, pow(x / 10, 0.75)) AS f, w.v AS wv, c.v AS cv,
+            list_dot_product(w.v[1:{DIMS}], c.v[1:{DIMS}]) + w.v[{DIMS + 1}] + c.v[{DIMS + 1}] - ln(x) AS miss
+          FROM cooc JOIN l{n} w ON w.side = 'w' AND w.id = i JOIN l{n} c ON c.side = 'c' AND c.id = j
+          WHERE (i % {BLOCKS} + {n % BLOCKS}) % {BLOCKS} = j % {BLOCKS}
+        ),
+        g{n} AS MATERIALIZED (
+          SELECT 'w' AS side, i AS id, d, sum(f * miss * CASE WHEN d = {DIMS} THEN 1 ELSE cv[d + 1] END) AS g
+          FROM e{n}, range({DIMS + 1}) r(d) GROUP BY i, d
+          UNION ALL
+          SELECT 'c', j, d, sum(f * miss * CASE WHEN d = {DIMS} THEN 1 ELSE wv[d + 1] END)
+          FROM e{n}, range({DIMS + 1}) r(d) GROUP BY j, d
+        ),
+        p{n + 1} AS MATERIALIZED (
+          SELECT side, id, d, v - {RATE} * coalesce(g, 0) / sqrt(q + coalesce(g, 0) * coalesce(g, 0)) AS v,
+            q + coalesce(g, 0) * coalesce(g, 0) AS q
+          FROM p{n} LEFT JOIN g{n} USING (side, id, d)
+        )""")
+    return ", ".join(steps)
+
+
 _G = f"WITH {CORPUS},{TGT},{_cooc_sql('tgt', WINDOW)}"
 
 SQL = {
@@ -153,8 +205,13 @@ SQL = {
         FROM params LEFT JOIN slopes USING (side, id, d)""",
     "final_vectors": f"""WITH {CORPUS},{TGT},{_PARAMS}
         SELECT id, d, round(sum(v), 6) AS value FROM params WHERE d < {DIMS} GROUP BY id, d""",
-    "fitted_vectors": f"""WITH {CORPUS},{TGT}
-        SELECT CAST(token_id AS VARCHAR) AS token, token_id AS ord, 16::BIGINT AS dims FROM tgt_vocab WHERE cnt >= 5""",
+    "fitted_vectors": f"""{_G},{_PARAMS},{_replay()}
+        SELECT CAST(id AS VARCHAR) AS token, id AS ord, d, round(sum(v), 5) AS value
+        FROM p{PASSES * BLOCKS} WHERE d < {DIMS} GROUP BY id, d""",
+    "fit_losses": f"""{_G},{_PARAMS},{_replay()}
+        {" UNION ALL ".join(f"""SELECT {number}::BIGINT AS pass, round(sum(part), 3) AS loss FROM (
+          {" UNION ALL ".join(f"SELECT sum(f * miss * miss) AS part FROM e{number * BLOCKS + t}" for t in range(BLOCKS))})"""
+          for number in range(PASSES))}""",
     "normalised_vectors": """WITH v AS (
           SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
         SELECT vec_id, unnest(range(len(e))) AS d,
