@@ -56,6 +56,20 @@ def test_mix(make_docs, words):
     assert sorted(map(repr, again)) == sorted(map(repr, rows))
 
 
+@pytest.mark.parametrize("small", [[10, 70, 100], [1, 2, 200], [64, 65, 130]])
+def test_small_sources_come_near_their_target(spark, words, small):
+    rows = [(1000 + i, "s%d" % n, " ".join(words[:n])) for i, n in enumerate(small)]
+    rows += [(i, "big", " ".join(words[i % 200 : i % 200 + 120])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken, target = defaultdict(int), {}
+    for row in mixing.mix(docs).collect():
+        assert row.taken <= 3 * row["size"]
+        taken[row.source] += row.taken
+        target[row.source] = row.target
+    for source, wanted in target.items():
+        assert abs(taken[source] - wanted) <= max(1.0, 0.02 * wanted), (source, taken[source], wanted)
+
+
 def test_edges(edge_docs, make_docs):
     rows = mixing.mix(edge_docs).collect()
     assert len(rows) == edge_docs.count()

@@ -1,6 +1,8 @@
 """Mixing sources to target weights by drawing fixed-length blocks of words.
 
-Words are packed, source by source, into blocks of ``BLOCK_WORDS``.  The output is
+Words are packed, source by source, into blocks of one length, ``BLOCK_WORDS`` at most; a
+small source has shorter blocks, so that it still has ``LEAST_BLOCKS`` of them and its words
+come near their target.  The output is
 divided into shards of ``SHARD_SLOTS`` slots, one block each.  A shard gets the whole
 part of each source's expected slots, and draws the rest from a multinomial over the
 fractions.  A source numbers its slots through all shards; slot k takes the block that
@@ -27,10 +29,11 @@ from pyspark.sql import functions as F
 
 from vocabbridge.llm.blocks import frugal, mix as mix_bits
 from vocabbridge.llm.ordered import running
-from vocabbridge.operators.rowindex import running_before
+from vocabbridge.operators.rowindex import contiguous_part, running_before
 from vocabbridge.storage import stored
 
 BLOCK_WORDS = 64
+LEAST_BLOCKS = 256
 SHARD_SLOTS = 16384
 MOST_REPEATS = 3
 SEED = 11
@@ -72,11 +75,15 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def slot_counts(targets: DataFrame) -> DataFrame:
-    """``shard, number, n``: how many slots each output shard gives to each source."""
-    rows = targets.select("number", "target").where("target > 0").orderBy("number").toPandas()
-    numbers, wanted = rows["number"].to_numpy(np.int32), rows["target"].to_numpy(float)
+    """``shard, number, n``: how many slots each output shard gives to each source.
+
+    A source needs as many slots as blocks of its own length make up its target.
+    """
+    slots = F.col("target") * F.col("blocks") / F.col("source_size")
+    rows = targets.where("target > 0").select("number", slots.alias("slots")).orderBy("number").toPandas()
+    numbers, wanted = rows["number"].to_numpy(np.int32), rows["slots"].to_numpy(float)
     spark = targets.sparkSession
-    total = int(round(wanted.sum() / BLOCK_WORDS))
+    total = int(round(wanted.sum()))
     shards = -(-total // SHARD_SLOTS)
     if not shards:
         return spark.createDataFrame([], "shard long, number int, n long")
@@ -153,9 +160,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
         docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), "sizes"
     )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stored(source_targets(sizes), "targets").withColumn(
-        "blocks", F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
-    )
+    blocks = F.greatest(F.ceil(F.col("source_size") / BLOCK_WORDS), F.least("source_size", F.lit(LEAST_BLOCKS)))
+    targets = stored(source_targets(sizes).withColumn("blocks", blocks.cast("long")), "targets")
 
     counts = stored(slot_counts(targets), "slots")
     first = running_before(counts, "shard", "n", "first", ("number",))
@@ -166,19 +172,26 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
     known = F.broadcast(targets)
     numbered = sized.join(known, sized["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", sized["source"], "size", "source_size", "target", "number"
+        "doc_id", sized["source"], "size", "source_size", "target", "number", "blocks"
     )
     ordered = stored(running(numbered, ["number", "doc_id", "size"], {"start": "size"}).withColumn(
         "__row", F.monotonically_increasing_id()), "ordered")
     bases = ordered.groupBy("number").agg(F.min("start").alias("base"))
     begin = F.col("start") - F.col("base")
     spans = ordered.where("size > 0").join(F.broadcast(bases), "number").select(
-        "__row", "number", begin.alias("begin"), (begin + F.col("size")).alias("end")
+        "__row", "number", "source_size", "blocks", begin.alias("begin"), (begin + F.col("size")).alias("end")
     )
-    block = F.explode(F.sequence(F.floor(F.col("begin") / BLOCK_WORDS), F.floor((F.col("end") - 1) / BLOCK_WORDS)))
-    pieces = spans.withColumn("block", block).select(
+    first_block, _ = contiguous_part(F.col("begin"), F.col("source_size"), F.col("blocks"))
+    last_block, _ = contiguous_part(F.col("end") - 1, F.col("source_size"), F.col("blocks"))
+    short = F.floor(F.col("source_size") / F.col("blocks"))
+
+    def block_begin(block):
+        """The first ``source_size - blocks * short`` blocks are one word longer."""
+        return block * short + F.least(block, F.col("source_size") - F.col("blocks") * short)
+
+    pieces = spans.withColumn("block", F.explode(F.sequence(first_block, last_block))).select(
         "__row", "number", "block",
-        (F.least("end", (F.col("block") + 1) * BLOCK_WORDS) - F.greatest("begin", F.col("block") * BLOCK_WORDS)).alias("words"),
+        (F.least("end", block_begin(F.col("block") + 1)) - F.greatest("begin", block_begin(F.col("block")))).alias("words"),
     )
     taken = pieces.join(taken_blocks, ["number", "block"]).groupBy("__row").agg(
         F.sum(F.col("words") * F.col("times")).alias("taken")
