@@ -89,6 +89,12 @@ def test_base_spans(edge_docs, make_docs):
         ('secret_key = "changeme_1234567"', []),
         ("the key: value is a word", []),
         ("public_key = 'Abcdef123456xyz'", []),
+        ('db_pwd = prefix + "Zx81kLm92QrT"', ["Zx81kLm92QrT"]),
+        ("db_pwd = get_value(name)", []),
+        ("client_secret_v" + " " * 40 + "=" + " " * 40 + '"Zx81kLm92QrT"', ["Zx81kLm92QrT"]),
+        ("very_" * 40 + 'secret_v = "Zx81kLm92QrT"', ["Zx81kLm92QrT"]),
+        ('a = "Zx81"\nb = a + "<your" \nclient_secret_v = b + "92QrT>"', []),
+        ('a = "Zx81kLm"\na = a + "92QrT"\nclient_secret_v = a', ["Zx81kLm", "92QrT"]),
     ],
 )
 def test_lexed(text, found):
@@ -96,6 +102,24 @@ def test_lexed(text, found):
     assert [text[int(a) : int(b)] for _, a, b in spans] == found
 
 
+def test_doubled_values_take_little_memory():
+    text = 'a = "x1y2Zq"\n' + "a = a + a\n" * 60 + "my_secret_v = a\nother_passphrase = a"
+    assert secrets.digest(text)[4] == "literal:5:11"
+    chain = 'v = "Zx81kLm92QrT"\n' + "".join(f'v = v + "q{n}"\nclient_secret_v{n} = v\n' for n in range(20_000))
+    assert secrets.digest(chain)[4].count("literal") == 20_001
+
+
+def test_values_add_up_like_their_text():
+    draw = np.random.default_rng(1)
+    pieces = ["change", "me_1", "Ab9", "<x", "y>", "your", "-key1", "A1!", "zzzz", "q w", "xx", "xxQ1"]
+    for _ in range(2000):
+        words = [pieces[i] for i in draw.integers(0, len(pieces), draw.integers(1, 6))]
+        value = secrets.Value(words[0], (0, 1))
+        for word in words[1:]:
+            value = value.then(secrets.Value(word, (0, 1)))
+        assert value.score() == secrets.Value("".join(words), (0, 1)).score(), words
+
+
 def test_prose_is_left_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert secrets.secrets(docs).where("kind = 'literal'").count() == 0

@@ -40,17 +40,18 @@ NAME_SCORES = {
 NAME_DENIES = {"name", "id", "path", "file", "url", "uri", "length", "len", "size", "type", "count", "hint", "public", "limit"}
 LEAST_SCORE = 5
 LEAST_LITERAL = 8
-PLACEHOLDER = re.compile(r"(?i)example|changeme|change_me|your[_-]|placeholder|xxxx|\*\*\*|\$\{|<[^>]*>|dummy|redacted")
+PLACEHOLDER = re.compile(r"(?i)example|changeme|change_me|your[_-]|placeholder|xxxx|\*\*\*|\$\{|dummy|redacted")
 
-_NAME_BEFORE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,80})["']?\]?[ \t]{0,8}$""")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _SIGN = re.compile(r":=|=>|[=:]")
 _ITEM = re.compile(
-    r"""[ \t]{0,8}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][A-Za-z0-9_.]*(?![A-Za-z0-9+/=_-]))|([A-Za-z0-9+/_.=@!#$%^&*-]+))"""
+    r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z_][A-Za-z0-9_.]*(?![A-Za-z0-9+/=_-]))|([A-Za-z0-9+/_.=@!#$%^&*-]+))"""
 )
-_PLUS = re.compile(r"[ \t]{0,8}\+(?!=)")
+_PLUS = re.compile(r"[ \t]*\+(?!=)")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-# A name is looked for in so many characters before its sign; longer names are no names.
-_BACK = 96
+# Kinds of characters, and what a value keeps of its ends: more than any placeholder's length.
+_KINDS = tuple(re.compile(p) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
+_DIGIT, _BLANK, _FEW, VARIED = 2, re.compile(r"\s"), 24, 6
 
 
 # What a match cannot do without, for a quick look before the patterns run.
@@ -83,69 +84,149 @@ def name_score(name: str) -> int:
     return min(4, sum(NAME_SCORES.get(p, 0) for p in parts + joined))
 
 
-def literal_score(literal: str) -> int:
-    """How much a literal looks like a secret: length and kinds of characters."""
-    if len(literal) < LEAST_LITERAL or PLACEHOLDER.search(literal) or re.search(r"\s", literal):
-        return 0
-    kinds = sum(bool(re.search(p, literal)) for p in (r"[a-z]", r"[A-Z]", r"[0-9]", r"[^A-Za-z0-9]"))
-    varied = len(set(literal)) >= 6
-    return (kinds >= 2 and varied) + (kinds >= 2 and bool(re.search(r"[0-9]", literal))) + (len(literal) >= 16)
+class Value:
+    """What a name stands for: a literal, or literals put together.
+
+    Parts are kept by reference, and what the score needs to know is added up, so a value
+    takes the same little memory whatever its length.
+    """
+
+    __slots__ = ("parts", "span", "length", "kinds", "letters", "blank", "dummy", "opens", "closes", "head", "tail", "told")
+
+    def __init__(self, text: str = "", span: tuple[int, int] | None = None):
+        self.parts, self.span, self.told = (), span, False
+        self.length = len(text)
+        self.kinds = frozenset(n for n, kind in enumerate(_KINDS) if kind.search(text))
+        self.letters = frozenset(text[:_FEW]) if len(set(text[:_FEW])) >= VARIED else frozenset(text)
+        self.blank, self.dummy = bool(_BLANK.search(text)), bool(PLACEHOLDER.search(text))
+        first, last = text.find("<"), text.rfind(">")
+        self.opens, self.closes = first >= 0, last >= 0
+        self.dummy |= 0 <= first < last
+        self.head, self.tail = text[:_FEW], text[-_FEW:]
+
+    def then(self, other: Value) -> Value:
+        """This value followed by another one."""
+        out = Value()
+        out.parts = (self, other)
+        out.length = self.length + other.length
+        out.kinds = self.kinds | other.kinds
+        out.letters = self.letters if len(self.letters) >= VARIED else self.letters | other.letters
+        out.blank = self.blank or other.blank
+        out.dummy = self.dummy or other.dummy or (self.opens and other.closes)
+        out.dummy = out.dummy or bool(PLACEHOLDER.search(self.tail + other.head))
+        out.opens, out.closes = self.opens or other.opens, self.closes or other.closes
+        out.head = (self.head + other.head)[:_FEW]
+        out.tail = (self.tail + other.tail)[-_FEW:]
+        return out
+
+    def score(self) -> int:
+        """How much the value looks like a secret: length and kinds of characters."""
+        if self.length < LEAST_LITERAL or self.dummy or self.blank or len(self.kinds) < 2:
+            return 0
+        return (len(self.letters) >= VARIED) + (_DIGIT in self.kinds) + (self.length >= 16)
+
+    def tell(self, found: set[tuple[int, int, int]]) -> None:
+        """Add the spans of all literals; each value does so once."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if not value.told:
+                value.told = True
+                todo += value.parts
+                if value.span is not None and value.length:
+                    found.add((value.span[0], 3, value.span[1]))
+
+
+def name_before(text: str, end: int, least: int) -> str | None:
+    """The name that ends at ``end``, but for blanks, a bracket and a quote."""
+    while end > least and text[end - 1] in " \t":
+        end -= 1
+    if end > least and text[end - 1] == "]":
+        end -= 1
+    if end > least and text[end - 1] in "\"'":
+        end -= 1
+    begin = end
+    while begin > least and text[begin - 1] in _NAME_CHARS:
+        begin -= 1
+    name = text[begin:end].lstrip("0123456789.-")
+    return name or None
 
 
 def assignments(text: str):
-    """(name, items) per assignment; an item is ("literal", start, end) or ("name", word)."""
+    """(name, items) per assignment; an item is (kind, word, start, end).
+
+    The kinds are literal, bare (a word that is a name or a value) and name (one that
+    stands in a sum or is called, so it is no value itself).
+    """
     taken = 0
     for sign in _SIGN.finditer(text):
         if sign.start() < taken:
             continue
-        before = _NAME_BEFORE.search(text, max(taken, sign.start() - _BACK), sign.start())
-        if not before:
+        name = name_before(text, sign.start(), taken)
+        if not name:
             continue
-        at, items = sign.end(), []
+        at, items, last_quoted = sign.end(), [], False
         while item := _ITEM.match(text, at):
             group = item.lastindex
-            if group == 3:
-                items.append(("name", item[3], item.start(3), item.end(3)))
-            else:
-                items.append(("literal", item[group], item.start(group), item.end(group)))
-            at = item.end()
+            kind = "bare" if group == 3 else "literal"
+            items.append((kind, item[group], item.start(group), item.end(group)))
+            at, last_quoted = item.end(), group < 3
             plus = _PLUS.match(text, at)
             if not plus:
                 break
             at = plus.end()
         if items:
-            quoted = at > 0 and text[at - 1] in "\"'"
-            taken = at if quoted or len(items) > 1 else sign.end()
-            yield before[1], items
+            if len(items) > 1 or text[at : at + 1] in ("(", "["):
+                items = [("name" if kind == "bare" else kind, *rest) for kind, *rest in items]
+            taken = at if last_quoted or len(items) > 1 else sign.end()
+            yield name, items
+
 
+def lexed_spans(text: str) -> set[tuple[int, int, int]]:
+    """(start, kind, end) of the literals that sensitive names stand for.
 
-def lexed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the literals that sensitive names stand for."""
+    A name that is assigned again stands for its last value.
+    """
+    found: set[tuple[int, int, int]] = set()
     if "=" not in text and ":" not in text:
-        return []
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    found = set()
+        return found
+    known: dict[str, Value] = {}
     for name, items in assignments(text):
-        held: list[tuple[str, int, int]] = []
+        value = None
         for kind, word, start, end in items:
-            if kind == "name" and word in known:
-                held += known[word]
+            if kind != "literal" and word in known:
+                part = known[word]
+            elif kind == "name":
+                continue  # nothing is known of it, and it is no literal
             else:
-                held.append((word, start, end))
-        known[name] = held
+                part = Value(word, (start, end))
+            value = part if value is None else value.then(part)
+        if value is None:
+            known.pop(name, None)
+            continue
+        known[name] = value
         score = name_score(name)
-        if score:
-            whole = "".join(word for word, _, _ in held)
-            if score + literal_score(whole) >= LEAST_SCORE:
-                found.update((start, 3, end) for word, start, end in held if word)
-    return list(found)
+        if score and score + value.score() >= LEAST_SCORE:
+            value.tell(found)
+    return found
+
+
+def outside(spans: set[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that lie in none of the base spans; both are swept in order."""
+    out, place, reach = [], 0, -1
+    for span in sorted(spans):
+        while place < len(base) and base[place][0] <= span[0]:
+            reach = max(reach, base[place][2])
+            place += 1
+        if span[2] > reach:
+            out.append(span)
+    return out
 
 
 def digest(text: str) -> tuple[int, int, int, str, str]:
     """The counts, the hash of the base spans, and all spans of one text."""
     base = sorted(base_spans(text))
-    covered = [(s, e) for s, _, e in base]
-    extra = [x for x in lexed_spans(text) if not any(s <= x[0] and x[2] <= e for s, e in covered)]
+    extra = outside(lexed_spans(text), base)
     written = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
     spans = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(base + extra))
     counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
