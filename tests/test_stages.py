@@ -30,7 +30,7 @@ def test_renamed_copy_aligns_to_itself(spark, few_partitions):
         F.translate("token", "w0123456789", "vabcdefghij").alias("token"), F.col("token_id").alias("src_id")
     ).join(target.vocab.select("token", F.col("token_id").alias("tgt_id")), "token")
     gold = truth.where(F.col("tgt_id") < 12).select("tgt_id", "src_id")
-    options = {"window": 4, "min_count": 1, "dims": 12, "passes": 40, "rate": 0.2}
+    options = {"window": 4, "min_count": 1, "dims": 12, "passes": 40, "rate": 0.2, "schedule": "batch"}
     alignment = stages.align_vocabularies(
         gold,
         stages.fit_vectors(target, seed=1, **options),
@@ -55,3 +55,29 @@ def test_blocks_and_overlap_score(spark):
     score = stages.score(pairs, stages.overlap_alignment(source, side)).first()
     assert score.mean_bleu == 1.0
     assert evaluate.unmapped_ids(pairs, stages.overlap_alignment(source, side)).count() == 0
+
+
+def test_given_validation_is_its_own_split(spark):
+    train = corpus(spark, 30)
+    held_out = corpus(spark, 4, seed=9).unionByName(spark.createDataFrame([(9, "too short")], "doc_id bigint, text string"))
+    rows = stages.prepare(train, validation=held_out).orderBy("row_idx").collect()
+    assert [r.row_idx for r in rows] == list(range(34))
+    assert [(r.split, r.split_idx) for r in rows] == [("validation", n) for n in range(4)] + [("train", n) for n in range(30)]
+    assert rows[0].text == held_out.where("doc_id = 0").first().text
+
+
+def test_token_budget_ends_with_its_batch(spark):
+    rows = stages.prepare(corpus(spark, 30), token_budget=200, batch_rows=4)
+    assert rows.count() == 8 and rows.where("split = 'validation'").count() == 0
+
+
+def test_extended_vocabulary_in_a_stage(spark):
+    prepared = stages.prepare(corpus(spark, 20))
+    added = spark.createDataFrame([("01 w", 0), ("w0", 1)], "token string, ord int")
+    plain = stages.tokenise_with(prepared, r"\S+")
+    side = stages.tokenise_with(prepared, r"\S+", added=added)
+    assert side.vocab.count() == plain.vocab.count() + 2
+    ids = {r.token: r.token_id for r in side.vocab.collect()}
+    text = prepared.where("row_idx = 0").first().text
+    got = side.rows.where("row_idx = 0").first().input_ids
+    assert got.count(ids["w0"]) == sum(1 for w in text.split() if w.startswith("w0")) - text.count("01 w0")

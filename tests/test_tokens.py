@@ -1,8 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from vocabbridge.functions.sequences import ids_to_line, line_to_ids
-from vocabbridge.functions.text import WORDS, WORDS_AND_MARKS, words
+from vocabbridge.functions.text import WORDS, WORDS_AND_MARKS, cut_pattern, words, words_and_added
 from vocabbridge.operators import export as X
 from vocabbridge.operators import tokenise as K
 from vocabbridge.operators import vocabulary as V
@@ -31,6 +34,49 @@ def test_tokenise_both_ways(spark, rows, vocab, limit, unknown, expected):
     assert [r.attention_mask for r in got] == [[True] * len(e) for e in expected]
 
 
+@pytest.mark.parametrize(
+    ("tokens", "text", "expected"),
+    [
+        (["ab", "abc", "bcd"], "xabcd y", ["x", "abc", "d", "y"]),
+        (["ab", "bcd"], "abcd", ["ab", "cd"]),
+        (["a b", "b"], "xa b bb", ["x", "a b", "b", "b"]),
+        (["<s>", "s", "."], "<s>see. s", ["<s>", "s", "ee", ".", "s"]),
+        (["é", "日本", "日"], "é日本日x", ["é", "日本", "日", "x"]),
+        (["abcx"], "ab abc abcabcx", ["ab", "abc", "abc", "abcx"]),
+        (["a"], "", []),
+        (["\n", "\\d"], "q\nr\\d1", ["q", "\n", "r", "\\d", "1"]),
+        ([], "a  b", ["a", "b"]),
+    ],
+)
+def test_added_tokens_are_cut_out_first(spark, tokens, text, expected):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(words_and_added(F.col("text"), WORDS, tokens)).first()[0] == expected
+
+
+def test_cut_pattern_is_leftmost_longest():
+    draw = random.Random(6)
+    for _ in range(300):
+        tokens = {"".join(draw.choice("ab.") for _ in range(draw.randint(1, 4))) for _ in range(draw.randint(1, 6))}
+        text = "".join(draw.choice("ab.c") for _ in range(30))
+        at, expected = 0, []
+        while at < len(text):
+            here = max((t for t in tokens if text.startswith(t, at)), key=len, default=None)
+            if here:
+                expected.append(here)
+            at += len(here or "x")
+        assert re.findall(cut_pattern(sorted(tokens)), text) == expected
+    with pytest.raises(ValueError, match="empty"):
+        cut_pattern([""])
+
+
+def test_added_tokens_are_measured(spark, vocab):
+    new = spark.createDataFrame([("zz", 0), ("a", 1), ("y", 2), ("zz", 3)], "token string, ord int")
+    extended = V.extend_vocabulary(vocab, new, "ord")
+    assert V.added_tokens(extended) == ["zz", "y"]
+    with pytest.raises(ValueError, match="bytes of added"):
+        V.added_tokens(extended, 2)
+
+
 def test_special_tokens_and_types(spark, rows, vocab):
     got = K.tokenise(rows, vocab, WORDS, bos=7, eos=8)
     assert got.schema["input_ids"].dataType.simpleString() == "array<int>"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vocabbridge.catalog.common import BOTH, CORPUS, RAW, SRC, plain, prepared, source, stage, table
+from vocabbridge.catalog.common import BOTH, CORPUS, RAW, SPACE, SRC, plain, prepared, source, stage, table
 from vocabbridge.functions.text import WORDS, text_to_json, words
 from vocabbridge.operators import corpus as C
 from vocabbridge.operators import rowindex as R
+from vocabbridge.plans import stages
 from vocabbridge.storage import stored
 
 # Batches of 50 raw rows and a budget that cuts the corpus in the middle of its batches.
@@ -66,6 +67,19 @@ def token_budget_cut(spark, folder):
     return plain(rows.select("row_idx", "batch", "fate"))
 
 
+def prepared_budget(spark, folder):
+    """The prepared corpus of a token budget."""
+    rows = stages.prepare(_documents(spark, folder), token_budget=BUDGET, batch_rows=BATCH)
+    return plain(rows.select("doc_id", "row_idx", "split", "split_idx"))
+
+
+def prepared_validation(spark, folder):
+    """The prepared corpus with a validation table of its own: texts of the benchmark."""
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    rows = stages.prepare(_documents(spark, folder), validation=items)
+    return plain(rows.select("doc_id", "row_idx", "split", "split_idx", F.md5("text").alias("text_md5")))
+
+
 def corpus_statistics(spark, folder):
     return plain(C.corpus_statistics(C.within_budget(_marked(spark, folder), BUDGET, BATCH)))
 
@@ -126,7 +140,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         strip_and_filter, row_fates, row_index, row_index_composite, row_batches,
-        batch_running_totals, token_budget_cut, corpus_statistics, corpus_statistics_all,
+        batch_running_totals, token_budget_cut, prepared_budget, prepared_validation,
+        corpus_statistics, corpus_statistics_all,
         head_split, split_sizes, chars_per_token, row_json, dataset_counts, feed_rotation,
         strided_shards, repeated_feed, head_rows,
     )
@@ -169,6 +184,21 @@ SQL = {
         count(*) AS n_rows FROM kept GROUP BY 1""",
     "batch_running_totals": f"WITH {_MARKED} SELECT * FROM running",
     "token_budget_cut": f"WITH {_MARKED} SELECT row_idx, batch, fate FROM taken",
+    "prepared_budget": f"""WITH {_MARKED},
+        numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM (
+          SELECT doc_id, fate, batch FROM taken JOIN (
+            SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM raw) USING (row_idx))
+          WHERE fate = 'kept'),
+        cut AS (SELECT CAST(round_even(CAST(count(*) AS DOUBLE) * 5 / 100, 0) AS BIGINT) AS n FROM numbered)
+        SELECT doc_id, row_idx, CASE WHEN row_idx < n THEN 'validation' ELSE 'train' END AS split,
+          CASE WHEN row_idx < n THEN row_idx ELSE row_idx - n END AS split_idx FROM numbered, cut""",
+    "prepared_validation": f"""WITH {RAW},
+        v AS (SELECT item_id AS doc_id, regexp_replace(text, '^{SPACE}+|{SPACE}+$', '', 'g') AS text FROM benchmark),
+        vn AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM v WHERE length(text) >= 50),
+        tn AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM raw WHERE length(text) >= 50)
+        SELECT doc_id, n AS row_idx, 'validation' AS split, n AS split_idx, md5(text) AS text_md5 FROM vn
+        UNION ALL
+        SELECT doc_id, n + (SELECT count(*) FROM vn), 'train', n, md5(text) FROM tn""",
     "corpus_statistics": f"WITH {_MARKED} {_STATS} FROM taken",
     "corpus_statistics_all": f"WITH {_MARKED} {_STATS} FROM marked",
     "head_split": f"WITH {CORPUS} SELECT doc_id, row_idx, split, split_idx FROM corpus",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from vocabbridge.catalog.common import (
@@ -147,6 +149,8 @@ _HIST = """hist AS (
   SELECT src_id, count(*) AS cnt, count(DISTINCT tgt_id) AS n_targets, min((sample_id, pos)) AS seen
   FROM occ WHERE src_id IS NOT NULL GROUP BY src_id
 )"""
+# Each step computed once: the query reads most of them several times.
+_STORED = re.sub(r"(\w+) AS \(\n?", r"\1 AS MATERIALIZED (", EVAL)
 
 SQL = {
     "mapped_targets": f"WITH {EVAL} {_PRED.format(id='coalesce(src_id, -1)')}",
@@ -164,7 +168,7 @@ SQL = {
     "mapping_summary": f"""WITH {EVAL},{_HIST} SELECT count(*) AS n_sources, CAST(sum(cnt) AS BIGINT) AS n_mapped,
         round(sum(cnt) / greatest(count(*), 1), 6) AS mean_per_source FROM hist""",
     "alignment_size": f"WITH {BOTH},{OVERLAP} SELECT count(*) AS n_entries FROM overlap",
-    "top_sources": f"""WITH {EVAL},{_HIST},
+    "top_sources": f"""WITH {_STORED},{_HIST.replace("hist AS (", "hist AS MATERIALIZED (")},
         top AS (SELECT * FROM hist ORDER BY cnt DESC, seen LIMIT 10)
         SELECT src_id, token, top.cnt AS cnt, round(top.cnt * 100.0 / (SELECT sum(cnt) FROM hist), 6) AS percent,
           n_targets FROM top JOIN src_vocab ON src_id = token_id""",

@@ -12,6 +12,10 @@ from vocabbridge.functions.text import WORDS, WORDS_AND_MARKS, words
 from vocabbridge.operators import export as X
 from vocabbridge.operators import tokenise as K
 from vocabbridge.operators import vocabulary as V
+from vocabbridge.plans import stages
+
+# Pairs of the held-out rows that a limited export takes: fewer than there are.
+LIMIT = 20
 
 
 def _rows(prepared_rows):
@@ -158,6 +162,29 @@ def paired_rows(spark, folder):
     )
 
 
+def paired_rows_limited(spark, folder):
+    """The head limit counts pairs before the length filter."""
+    held_out = F.col("split") == "validation"
+    rows = X.paired_rows(
+        source(spark, folder).rows.where(held_out), target(spark, folder).rows.where(held_out), 10, max_lines=LIMIT
+    )
+    return plain(rows.select("sample_id", F.size("src_ids").alias("n_src"), F.size("tgt_ids").alias("n_tgt")))
+
+
+def tokenise_extended(spark, folder):
+    """A vocabulary extended by begins of benchmark words, which overlap each other."""
+    word = F.col("word")
+    items = table(spark, folder, "benchmark").select(
+        "item_id", F.posexplode(words(F.col("text"), WORDS)).alias("pos", "word")
+    )
+    begins = items.where(F.length(word) >= 4).select(
+        "item_id", "pos", F.explode(F.array(F.lit(2), F.lit(3))).alias("k"), "word"
+    )
+    added = begins.select("item_id", "pos", "k", F.substring(word, F.lit(1), F.col("k")).alias("token"))
+    side = stages.tokenise_with(prepared(spark, folder), WORDS, "extended", added, ("item_id", "pos", "k"))
+    return _lines(side.rows)
+
+
 def paired_training_rows(spark, folder):
     """Pairing without a head limit, over the whole training split."""
     train = F.col("split") == "train"
@@ -193,7 +220,7 @@ QUERIES = {
         tokenise_words, tokenise_words_and_marks, tokenise_special_tokens, tokenise_frequent_only,
         tokenise_joined, tokenise_library, tokenised_rows, source_vocabulary, target_vocabulary,
         frequent_tokens, vocabulary_sizes, extended_vocabulary, decoded_rows, decoded_frequent, decoded_joined,
-        token_lines, token_lines_head, paired_rows, paired_training_rows, line_round_trip,
+        token_lines, token_lines_head, paired_rows, paired_rows_limited, tokenise_extended, paired_training_rows, line_round_trip,
         vocabulary_overlap, overlap_ratio,
     )
 }
@@ -252,6 +279,30 @@ SQL = {
         s AS ({_line_sql('src_tok')}), t AS ({_line_sql('tgt_tok')})
         SELECT sample_id, s.line_md5 AS src_md5, t.line_md5 AS tgt_md5
         FROM samples JOIN s USING (row_idx) JOIN t USING (row_idx)""",
+    "paired_rows_limited": f"""WITH {BOTH},{PAIRS}
+        SELECT split_idx AS sample_id, s.n AS n_src, t.n AS n_tgt
+        FROM corpus JOIN src_len s USING (row_idx) JOIN tgt_len t USING (row_idx)
+        WHERE split = 'validation' AND split_idx < {LIMIT} AND s.n >= 10 AND t.n >= 10""",
+    "tokenise_extended": rf"""{_S},
+        items AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos
+          FROM (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark)),
+        begins AS (SELECT item_id, pos, k, substr(word, 1, k) AS token FROM items, (VALUES (2), (3)) v(k)
+          WHERE length(word) >= 4),
+        firsts AS (SELECT token, min((item_id, pos, k)) AS first_at FROM begins
+          WHERE token NOT IN (SELECT token FROM src_vocab) GROUP BY token),
+        ext AS MATERIALIZED (SELECT token,
+          (SELECT max(token_id) FROM src_vocab) + row_number() OVER (ORDER BY first_at) AS token_id FROM firsts),
+        pat AS MATERIALIZED (SELECT string_agg(regexp_escape(token), '|' ORDER BY length(token) DESC, token) AS p FROM ext),
+        sliced AS MATERIALIZED (SELECT row_idx, string_split_regex(text, p) AS gap, regexp_extract_all(text, p) AS found
+          FROM corpus, pat),
+        pieces AS (SELECT row_idx, i, list_concat(regexp_extract_all(gap[i], '\S+'),
+            CASE WHEN i <= len(found) THEN [found[i]] ELSE [] END) AS w
+          FROM (SELECT *, unnest(range(1, len(gap) + 1)) AS i FROM sliced)),
+        each AS (SELECT row_idx, i, unnest(w) AS token, generate_subscripts(w, 1) AS place FROM pieces),
+        every AS (SELECT token, token_id FROM src_vocab UNION ALL SELECT token, token_id FROM ext)
+        SELECT row_idx, count(*) AS n_tokens,
+          md5(string_agg(CAST(token_id AS VARCHAR), ' ' ORDER BY i, place)) AS line_md5
+        FROM each JOIN every USING (token) GROUP BY row_idx""",
     "paired_training_rows": f"""WITH {BOTH},{PAIRS}
         SELECT split_idx AS sample_id, s.n AS n_src, t.n AS n_tgt
         FROM corpus JOIN src_len s USING (row_idx) JOIN tgt_len t USING (row_idx)

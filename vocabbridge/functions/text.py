@@ -27,6 +27,53 @@ def words(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def cut_pattern(tokens: list[str]) -> str:
+    """A pattern that finds any of ``tokens``, the longest one at its place.
+
+    The tokens are put into a trie, and the trie is written as nested groups: a text is
+    followed down one path, however many tokens there are.  A node where a token ends
+    makes what follows it optional, and optional parts are taken where they fit, so the
+    longest token wins.
+    """
+    trie: dict = {}
+    for token in tokens:
+        node = trie
+        for char in token:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def write(node: dict) -> str:
+        branches = [_literal(char) + write(node[char]) for char in sorted(node) if char]
+        if not branches:
+            return ""
+        if len(branches) == 1 and "" not in node:
+            return branches[0]
+        return "(?:" + "|".join(branches) + ")" + ("?" if "" in node else "")
+
+    if not trie or "" in trie:
+        raise ValueError("added tokens must not be empty")
+    return write(trie)
+
+
+def _literal(char: str) -> str:
+    return "\\" + char if ord(char) < 128 and not char.isalnum() else char
+
+
+def words_and_added(text: Column, pattern: str, added: list[str]) -> Column:
+    """The words of the text, after the ``added`` tokens have been cut out of it.
+
+    Added tokens are found from left to right, the longest first, wherever they stand; only
+    what lies between them is split by ``pattern``.
+    """
+    if not added:
+        return words(text, pattern)
+    cut = F.lit(cut_pattern(added))
+    parts = F.arrays_zip(F.split(text, cut, -1).alias("between"), F.regexp_extract_all(text, cut, F.lit(0)).alias("token"))
+    return F.flatten(
+        F.transform(parts, lambda p: F.concat(words(p["between"], pattern), F.array_compact(F.array(p["token"]))))
+    )
+
+
 def text_to_json(text: Column) -> Column:
     """One ``{"text": ...}`` object, non-ASCII characters kept as they are."""
     return F.to_json(F.struct(text.alias("text")))

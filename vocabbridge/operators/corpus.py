@@ -93,6 +93,14 @@ def head_split(df: DataFrame, percent: int = VALIDATION_PERCENT) -> DataFrame:
     )
 
 
+def given_split(train: DataFrame, validation: DataFrame) -> DataFrame:
+    """Both tables, numbered each, as the splits of one corpus; validation rows come first."""
+    before = row_count(validation)
+    head = validation.select("*", F.lit("validation").alias("split"), F.col("row_idx").alias("split_idx"))
+    rest = train.select("*", F.lit("train").alias("split"), F.col("row_idx").alias("split_idx"))
+    return head.unionByName(rest.withColumn("row_idx", F.col("row_idx") + before))
+
+
 def split_sizes(df: DataFrame) -> DataFrame:
     """Rows per split."""
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocabbridge.functions.sequences import full_mask, with_special_tokens
-from vocabbridge.functions.text import words
+from vocabbridge.functions.text import words_and_added
 from vocabbridge.operators.lookup import BROADCAST_BYTES, lookup_ids, lookup_values
+from vocabbridge.operators.vocabulary import check_vocabulary
 
 
 def text_column(df: DataFrame) -> str:
@@ -27,16 +28,18 @@ def tokenise(
     eos: int | None = None,
     row_key: str = "row_idx",
     limit_bytes: int = BROADCAST_BYTES,
+    added: list[str] | None = None,
 ) -> DataFrame:
     """Replace the text by ``input_ids`` and ``attention_mask``.
 
     ``vocab`` holds ``token`` and ``token_id``.  Words outside it become ``unknown``,
-    or are left out if that is None.  Nothing is truncated.
+    or are left out if that is None.  ``added`` tokens are cut out of the text before it
+    is split into words, and looked up like words.  Nothing is truncated.
     """
-    column = text_column(df)
+    vocab, column = check_vocabulary(vocab), text_column(df)
     ids = lookup_ids(
         df,
-        words(F.col(column), pattern),
+        words_and_added(F.col(column), pattern, added or []),
         vocab.select("token", "token_id"),
         "input_ids",
         unknown,

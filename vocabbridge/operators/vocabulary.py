@@ -9,6 +9,8 @@ from vocabbridge.operators.rowindex import with_row_index
 
 # Fixed value: tokens seen less often get no vector.
 MIN_COUNT = 5
+# Added tokens are cut out of texts by one pattern, of at most so many bytes of tokens.
+ADDED_BYTES = 8 << 20
 
 
 def token_counts(df: DataFrame, tokens: Column, min_count: int = 1) -> DataFrame:
@@ -77,3 +79,15 @@ def extend_vocabulary(vocab: DataFrame, new_tokens: DataFrame, *order: str) -> D
     return vocab.select("token", F.col("token_id").cast("int"), F.lit(False).alias("added")).unionByName(
         added.select("token", (size + F.col("_rank")).cast("int").alias("token_id"), F.lit(True).alias("added"))
     )
+
+
+def added_tokens(extended: DataFrame, limit_bytes: int = ADDED_BYTES) -> list[str]:
+    """The tokens that :func:`extend_vocabulary` has added, in the order of their ids.
+
+    They become one pattern, so the list is measured first.
+    """
+    added = extended.where("added").select("token", "token_id")
+    size = added.agg(F.sum(F.octet_length("token"))).first()[0] or 0
+    if size > limit_bytes:
+        raise ValueError(f"{size} bytes of added tokens, more than {limit_bytes}")
+    return [row["token"] for row in added.orderBy("token_id").collect()]

@@ -11,7 +11,9 @@ from vocabbridge.functions.text import WORDS, WORDS_AND_MARKS, words
 from vocabbridge.operators import align, cooccur, corpus, evaluate, export, glove, packing
 from vocabbridge.operators.rowindex import with_row_index
 from vocabbridge.operators.tokenise import tokenise
-from vocabbridge.operators.vocabulary import MIN_COUNT, build_vocabulary, vocabulary_overlap
+from vocabbridge.operators.vocabulary import (
+    MIN_COUNT, added_tokens, build_vocabulary, extend_vocabulary, vocabulary_overlap,
+)
 from vocabbridge.storage import stored
 
 
@@ -23,17 +25,55 @@ class Tokenised:
     rows: DataFrame
 
 
-def prepare(documents: DataFrame, key: str = "doc_id", percent: int = corpus.VALIDATION_PERCENT) -> DataFrame:
-    """Cleaned rows with ``row_idx``, ``split`` and ``split_idx``."""
-    kept = corpus.keep_rows(documents.select(key, "text"))
-    return corpus.head_split(with_row_index(kept, key), percent)
-
+def prepare(
+    documents: DataFrame,
+    key: str = "doc_id",
+    percent: int = corpus.VALIDATION_PERCENT,
+    validation: DataFrame | None = None,
+    token_budget: int | None = None,
+    pattern: str = WORDS,
+    batch_rows: int = corpus.BATCH_ROWS,
+) -> DataFrame:
+    """Cleaned rows with ``row_idx``, ``split`` and ``split_idx``.
 
-def tokenise_with(prepared: DataFrame, pattern: str, label: str = "tokens") -> Tokenised:
-    """Vocabulary of all words of the corpus, and the corpus written as its ids."""
+    A given ``validation`` table is the validation split; without one the head of the
+    documents is.  With a ``token_budget`` the documents end with the batch of raw rows
+    that reaches so many words of ``pattern``.
+    """
+    kept = _kept(documents, key, token_budget, pattern, batch_rows)
+    if validation is None:
+        return corpus.head_split(kept, percent)
+    return corpus.given_split(kept, _kept(validation, key, None, pattern, batch_rows))
+
+
+def _kept(documents: DataFrame, key: str, token_budget: int | None, pattern: str, batch_rows: int) -> DataFrame:
+    """The rows that are long enough, numbered; whole batches up to the budget if there is one."""
+    rows = documents.select(key, "text")
+    if token_budget is None:
+        return with_row_index(corpus.keep_rows(rows), key)
+    marked = corpus.mark_rows(rows)
+    n_tokens = F.when(F.col("fate") == "kept", F.size(words(F.col("text"), pattern)))
+    numbered = with_row_index(marked.withColumn("n_tokens", n_tokens), key)
+    taken = corpus.within_budget(numbered, token_budget, batch_rows)
+    return with_row_index(taken.where("fate = 'kept'").select(key, "text"), key)
+
+
+def tokenise_with(
+    prepared: DataFrame, pattern: str, label: str = "tokens", added: DataFrame | None = None, order: tuple[str, ...] = ("ord",)
+) -> Tokenised:
+    """Vocabulary of all words of the corpus, and the corpus written as its ids.
+
+    ``added`` lists further tokens (``token`` and the ``order`` columns).  Those that the
+    vocabulary lacks extend it, and are cut out of the texts before these are split into
+    words.
+    """
     vocab = build_vocabulary(prepared, words(F.col("text"), pattern))
-    columns = ["row_idx", "split", "split_idx", "text"]
-    rows = tokenise(prepared.select(*columns), vocab, pattern)
+    columns, cut = ["row_idx", "split", "split_idx", "text"], []
+    if added is not None:
+        extended = stored(extend_vocabulary(vocab, added, *order), "extended")
+        cut = added_tokens(extended)
+        vocab = extended.join(vocab.select("token_id", "cnt"), "token_id", "left").select("token_id", "token", "cnt")
+    rows = tokenise(prepared.select(*columns), vocab, pattern, added=cut)
     return Tokenised(vocab, stored(rows, label))
 
 
