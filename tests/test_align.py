@@ -107,3 +107,28 @@ def test_vector_expressions(spark):
     got = df.select(l2_normalise(F.col("a")).alias("n"), cosine(F.col("a"), F.col("b")).alias("c")).collect()
     assert got[0].n == [0.6, 0.8] and got[0].c == pytest.approx(0.96)
     assert got[1].n is None and got[1].c is None
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_short_blocks_are_left_out(spark, few_partitions, k):
+    rng = np.random.default_rng(7)
+    t = rng.normal(size=(60, 5)) * rng.pareto(1.0, (60, 1)) + 0.01
+    s = rng.normal(size=(90, 5)) * rng.pareto(0.7, (90, 1))
+    s[5] = s[17]  # a tie
+    schema = "id int, ord bigint, vector array<double>"
+    target, source = (
+        spark.createDataFrame([(n, n * 7 % 101, row.tolist()) for n, row in enumerate(side)], schema) for side in (t, s)
+    )
+    got = A.nearest(target, source, k, block_rows=6).orderBy("tgt_id", "rank").collect()
+    scores = np.round(t @ s.T, A.SCORE_DECIMALS)
+    for n in range(60):
+        best = sorted(range(90), key=lambda j: (-scores[n, j], j * 7 % 101))[:k]
+        assert [r.src_id for r in got if r.tgt_id == n] == best
+    left, right = A._by_length(target, 6), A._by_length(source, 6)
+    lengths = [r._norm for r in right.orderBy("_block", F.desc("_norm")).collect()]
+    assert lengths == sorted(lengths, reverse=True)
+    found = spark.createDataFrame(
+        [(r.tgt_id, r.score) for r in got], "tgt_id int, score double"
+    )
+    opened = A.open_blocks(left, right, found, k).collect()
+    assert len(opened) == 10 and sum(r._blocks for r in opened) < 0.7 * 10 * 15

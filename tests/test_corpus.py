@@ -98,7 +98,7 @@ def test_row_index_does_not_depend_on_partitions(spark):
 @given(values=st.lists(st.integers(0, 9), min_size=1, max_size=40), span=st.integers(1, 9))
 def test_running_before_for_any_span(spark, values, span):
     df = spark.createDataFrame(list(enumerate(values)), "i bigint, v bigint")
-    got = R.running_before(df, "i", "v", "before", span=span).orderBy("i").collect()
+    got = R.R.running_before(df, "i", "v", "before", span=span).orderBy("i").collect()
     assert [r.before for r in got] == [sum(values[:n]) for n in range(len(values))]
 
 
@@ -119,3 +119,16 @@ def test_rotation_shards_and_repeats(spark):
     shards = [{r.row_idx for r in R.strided_shard(rows, w, 2).collect()} for w in (0, 1)]
     assert shards == [{0, 2, 4}, {1, 3}]
     assert R.repeat(rows, 3).orderBy("epoch", "row_idx").count() == 15
+
+
+def test_running_totals_over_many_levels(spark, few_partitions):
+    values = [(n, n * 37 % 11, "ab"[n % 2]) for n in range(150)]
+    df = spark.createDataFrame(values, "row_idx bigint, v bigint, k string")
+    total = R.running_before(df, "row_idx", "v", "before", span=4)
+    expected = [sum(v for _, v, _ in values[:n]) for n in range(150)]
+    assert [r.before for r in total.orderBy("row_idx").collect()] == expected
+    plan = total._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "SinglePartition" not in plan
+    keyed = R.running_before(df, "row_idx", "v", "before", ("k",), span=4).orderBy("row_idx").collect()
+    assert [r.before for r in keyed] == [sum(v for _, v, k in values[:n] if k == "ab"[n % 2]) for n in range(150)]
+    assert R.running_before(df.where("v < 0"), "row_idx", "v", "before", span=4).count() == 0

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from vocabbridge.functions.hashing import hash_mod, hash_order
 from vocabbridge.functions.vectors import l2_normalise, norm
-from vocabbridge.operators.dense import as_column, as_matrix, pair_blocks
+from vocabbridge.operators.dense import as_column, as_matrix, blocks_for, pair_blocks
 from vocabbridge.operators.lookup import BROADCAST_BYTES, table_bytes
+from vocabbridge.operators.rowindex import with_row_index
+from vocabbridge.storage import stored
 
 # The workload's number of pivots and the spellings of the unknown token.
 PIVOTS = 300
@@ -120,25 +122,13 @@ def _relative_in_blocks(vectors: DataFrame, chosen: DataFrame, block_rows: int)
     return joined.select("id", "ord", F.transform("_pairs", lambda p: p["part"]).alias("vector"))
 
 
-def nearest(
-    target: DataFrame,
-    source: DataFrame,
-    k: int = 1,
-    metric: str = "dot",
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``tgt_id, src_id, score, rank``: the ``k`` best source rows for each target row.
+_LOCAL = "tgt_id int, src_id int, ord bigint, score double"
+# What rounding may add to a score or to a product of lengths.
+_ROUNDING = 1e-9
 
-    Every target block meets every source block in one matrix product, and only the
-    ``k`` best per target row leave the task.  Equal scores go to the lower ``ord``.
-    """
-    if metric not in ("dot", "cosine"):
-        raise ValueError("metric must be dot or cosine")
-    if metric == "cosine":
-        target, source = (
-            side.withColumn("vector", l2_normalise(F.col("vector"))).where(F.col("vector").isNotNull())
-            for side in (target, source)
-        )
+
+def _best_of_blocks(k: int):
+    """The ``k`` best source rows of a block for each target row of a block."""
 
     def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"tgt_id": [], "src_id": [], "ord": [], "score": []}
@@ -170,9 +160,90 @@ def nearest(
             }
         )
 
-    local = pair_blocks(
-        target.select("id", "vector"), source.select("id", "ord", "vector"), "id", "id", block_rows
-    ).applyInArrow(best, "tgt_id int, src_id int, ord bigint, score double")
+    return best
+
+
+def _by_length(vectors: DataFrame, block_rows: int) -> DataFrame:
+    """The vectors with their length, in blocks from the longest to the shortest."""
+    measured = vectors.withColumn("_norm", norm(F.col("vector")))
+    numbered = with_row_index(measured, F.desc("_norm"), F.asc("id"), name="_place")
+    return numbered.withColumn("_block", F.floor(F.col("_place") / block_rows).cast("int")).drop("_place")
+
+
+def open_blocks(target: DataFrame, source: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``_lb, _blocks``: how many of the first source blocks each target block has to meet.
+
+    Both sides come from :func:`_by_length`; ``found`` has scores that the target rows
+    reach already.  No score exceeds the product of the two lengths (Cauchy and Schwarz),
+    so a source block whose longest vector is shorter than score / length for every row of
+    a target block has nothing for it, and neither have the blocks after it.  One number
+    per block is collected.
+    """
+    reached = found.groupBy(F.col("tgt_id").alias("id")).agg(
+        F.min("score").alias("_score"), F.count(F.lit(1)).alias("_n")
+    )
+    bound = (F.col("_score") - _ROUNDING) / (F.col("_norm") * (1 + _ROUNDING))
+    need = F.when((F.col("_n") >= k) & (F.col("_norm") > 0), bound).otherwise(float("-inf"))
+    needs = (
+        target.join(reached, "id", "left").groupBy("_block").agg(F.min(F.coalesce(need, F.lit(float("-inf")))).alias("_need"))
+    ).toPandas()
+    longest = source.groupBy("_block").agg(F.max("_norm").alias("_longest")).orderBy("_block").toPandas()
+    falling = -longest["_longest"].to_numpy()
+    count = np.searchsorted(falling, -needs["_need"].to_numpy(), side="right")
+    rows = [(int(b), int(n)) for b, n in zip(needs["_block"], count, strict=True)]
+    return target.sparkSession.createDataFrame(rows, "_lb int, _blocks int")
+
+
+def _pruned(target: DataFrame, source: DataFrame, k: int, block_rows: int, best) -> DataFrame:
+    """The best of all block pairs that can hold one of the ``k`` best scores.
+
+    All target blocks meet the longest source vectors first.  What they find there bounds
+    the rest.
+    """
+    left, right = _by_length(target, block_rows), _by_length(source, block_rows)
+
+    def met(pairs: DataFrame) -> DataFrame:
+        of_left = pairs.select(F.col("_lb").alias("_l1"), F.col("_rb").alias("_r1"))
+        of_right = pairs.select(F.col("_lb").alias("_l2"), F.col("_rb").alias("_r2"))
+        l_rows = left.join(of_left, F.col("_block") == F.col("_l1")).select("_l1", "_r1", "id", "vector")
+        r_rows = right.join(of_right, F.col("_block") == F.col("_r2")).select("_l2", "_r2", "id", "ord", "vector")
+        return l_rows.groupBy("_l1", "_r1").cogroup(r_rows.groupBy("_l2", "_r2")).applyInArrow(best, _LOCAL)
+
+    blocks = left.select(F.col("_block").alias("_lb")).distinct()
+    first = stored(met(blocks.withColumn("_rb", F.lit(0))), "first-scores")
+    further = open_blocks(left, right, first, k).where("_blocks > 1")
+    pairs = further.select("_lb", F.explode(F.sequence(F.lit(1), F.col("_blocks") - 1)).alias("_rb"))
+    return first.unionAll(met(pairs))
+
+
+def nearest(
+    target: DataFrame,
+    source: DataFrame,
+    k: int = 1,
+    metric: str = "dot",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``tgt_id, src_id, score, rank``: the ``k`` best source rows for each target row.
+
+    A target block meets a source block in one matrix product, and only the ``k`` best per
+    target row leave the task.  Equal scores go to the lower ``ord``.  For inner products
+    blocks are cut by length, and block pairs that cannot hold a better score are left out
+    (:func:`open_blocks`); cosines leave nothing to bound, so all pairs meet.
+    """
+    if metric not in ("dot", "cosine"):
+        raise ValueError("metric must be dot or cosine")
+    if metric == "cosine":
+        target, source = (
+            side.withColumn("vector", l2_normalise(F.col("vector"))).where(F.col("vector").isNotNull())
+            for side in (target, source)
+        )
+
+    target, source = target.select("id", "vector"), source.select("id", "ord", "vector")
+    best = _best_of_blocks(k)
+    if metric == "cosine" or blocks_for(source, block_rows) == 1:
+        local = pair_blocks(target, source, "id", "id", block_rows).applyInArrow(best, _LOCAL)
+    else:
+        local = _pruned(target, source, k, block_rows, best)
     if k == 1:
         winner = F.max_by(F.struct("src_id", "score"), F.struct("score", (-F.col("ord")).alias("o")))
         found = local.groupBy("tgt_id").agg(winner.alias("_best"))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from vocabbridge.storage import stored
 
 
+# Partitions whose sizes are added up in one task.
+PARTS = 65536
+
+
 def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_idx") -> DataFrame:
     """Number the rows 0, 1, ... in the given (unique) order.
 
@@ -26,8 +30,8 @@ def with_row_index(df: DataFrame, *order: Column | str, name: str = "row_idx") -
     )
     table = stored(tagged, "indexed")
     sizes = table.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_part")) - F.col("_n")
-    starts = sizes.select("_part", before.alias("_start"))
+    totals = sizes.select(F.col("_part").alias("_span"), F.col("_n").alias("_total"))
+    starts = _sums_before(totals, (), PARTS).select(F.col("_span").alias("_part"), F.col("_base").alias("_start"))
     return table.join(F.broadcast(starts), "_part").select(
         (F.col("_start") + F.col("_place")).alias(name), *[F.col(c) for c in df.columns]
     )
@@ -38,25 +42,39 @@ def running_before(
 ) -> DataFrame:
     """Sum of ``value`` over all rows with a smaller ``index`` (a dense row index).
 
-    Two levels: totals of ``span`` consecutive rows are summed up first, then each
-    group of ``span`` rows on its own, so no task sees more than one group or the
-    (``span`` times smaller) table of totals.
+    Totals of ``span`` consecutive rows are summed up first, then totals of ``span`` of
+    these, and so on until one group is left; then sums are added from the top down.  No
+    task sees more than one group of one level.
     """
     grouped = df.withColumn("_span", F.floor(F.col(index) / span))
-    totals = grouped.groupBy(*keys, "_span").agg(F.sum(value).alias("_total"))
-    over_spans = W.partitionBy(*keys).orderBy("_span") if keys else W.orderBy("_span")
-    bases = totals.select(
-        *keys, "_span", (F.sum("_total").over(over_spans) - F.col("_total")).alias("_base")
-    )
+    totals = stored(grouped.groupBy(*keys, "_span").agg(F.sum(value).alias("_total")), "totals")
     inside = W.partitionBy(*keys, "_span").orderBy(index).rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         grouped.withColumn(name, F.sum(value).over(inside) - F.col(value))
-        .join(bases, [*keys, "_span"])
+        .join(_sums_before(totals, keys, span), [*keys, "_span"])
         .withColumn(name, F.col(name) + F.col("_base"))
         .drop("_span", "_base")
     )
 
 
+def _sums_before(totals: DataFrame, keys: tuple[str, ...], span: int) -> DataFrame:
+    """``_span, _base``: per group the sum of ``_total`` over all groups before it.
+
+    ``totals`` is stored; each level above has ``span`` times fewer rows.
+    """
+    framed = totals.withColumn("_parent", F.floor(F.col("_span") / span))
+    inside = W.partitionBy(*keys, "_parent").orderBy("_span").rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = framed.withColumn("_base", F.sum("_total").over(inside) - F.col("_total"))
+    top = totals.agg(F.max("_span")).first()[0]
+    if top is None or top < span:
+        return local.select(*keys, "_span", "_base")
+    upper = stored(
+        framed.groupBy(*keys, "_parent").agg(F.sum("_total").alias("_total")).withColumnRenamed("_parent", "_span"), "totals"
+    )
+    above = _sums_before(upper, keys, span).select(*keys, F.col("_span").alias("_parent"), F.col("_base").alias("_above"))
+    return local.join(above, [*keys, "_parent"]).select(*keys, "_span", (F.col("_base") + F.col("_above")).alias("_base"))
+
+
 def row_count(df: DataFrame) -> Column:
     """The number of rows as a scalar subquery."""
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
