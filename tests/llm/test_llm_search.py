@@ -10,15 +10,15 @@ import pytest
 from vocabbridge.llm import mtree, secrets
 
 
-def brute(rows, asked, k):
+def brute(rows, asked, k, kind=np.float32):
     ok = {}
     for vec_id, v in rows:
         if v and all(x is not None and math.isfinite(x) for x in v):
-            ok.setdefault(vec_id, []).append([math.floor(64 * float(np.float32(x))) for x in v])
+            ok.setdefault(vec_id, []).append([math.floor(64 * float(kind(x))) for x in v])
     out = []
     for q in asked:
         for own in ok.get(q, []):
-            scores = [(-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, vs in ok.items() if i != q for v in vs]
+            scores = [(-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, vs in ok.items() if i != q for v in vs if len(v) == len(own)]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
@@ -39,6 +39,33 @@ def test_top_k(spark, monkeypatch, per_pivot):
     assert sorted(tuple(r) for r in got) == brute(rows, [i for i, _ in rows if i % 20 == 0], 7)
 
 
+@pytest.mark.parametrize("size", [1e4, 1e6, 1e7])
+def test_large_components_are_exact(spark, monkeypatch, size):
+    monkeypatch.setattr(mtree, "PER_TREE", 60)
+    monkeypatch.setattr(mtree, "PAGE", 8)
+    draw = np.random.default_rng(5)
+    rows = [(i, (size * (1 + draw.normal(0, 1e-7, 5))).tolist()) for i in range(150)]
+    rows += [(200 + i, (size * draw.uniform(-1, 1, 5)).tolist()) for i in range(100)]
+    rows += [(400 + i, [1.0 * i, 2.0]) for i in range(6)]  # another length
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mtree.search(df, df.where("vec_id % 20 = 0"), 7).collect()
+    want = brute(rows, [i for i, _ in rows if i % 20 == 0], 7, float)
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_entries_are_passed_over():
+    draw = np.random.default_rng(3)
+    points = draw.integers(-50, 50, (400, 6)).astype(float)
+    norm = float((points**2).sum(axis=1).max())
+    pages = mtree.build_pages(mtree.lifted(points, norm))
+    lifted = mtree.lifted(points, norm)
+    for _, _, center, radius, _, members, away in pages:
+        assert (lifted == center).all(axis=1).any()  # a stored object
+        assert np.allclose(away, np.sqrt(((lifted[members] - center) ** 2).sum(axis=1)))
+        assert not len(members) or radius >= away.max()
+    assert sorted(i for p in pages for i in p[5]) == list(range(400))
+
+
 def test_few_and_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     two = spark.createDataFrame([(0, [1.0, 0.5]), (5, [1.0, -1.0])], schema)

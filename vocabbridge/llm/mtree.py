@@ -11,18 +11,26 @@ down, and skips a page when the stored distance to the parent's center (by the t
 inequality, no distance is computed then) or the distance to the page's center says
 that the ball is too far; leaves are visited nearest bound first.
 
-Scores are sums of integers and exact; bounds are loosened by ``SLACK`` for rounding.
+A page's center is one of its vectors, and a leaf keeps the distance of each entry to it,
+so entries too are passed over by a stored distance.
+
+Scores are sums of integers and exact: products are floats while these hold them, 64-bit
+integers beyond.  Bounds are loosened by what rounding may add, in proportion to the
+longest vector.
 
 Equal vectors are one entry with its k + 1 smallest ids: no other id of theirs can be in
 a result.  Vectors that are null or hold null or non-finite components take no part,
-neither as queries nor as candidates, and neither do vectors shorter or longer than most
-(see ``search``).  Ties go to the smaller id.  Rows that repeat an id are candidates as
+neither as queries nor as candidates.  Vectors of different lengths have no inner product:
+each length is searched on its own.  Vectors whose squared length is 2^62 or more (a
+component of some 3 * 10^7) have scores that are no 64-bit integers and take no part either.
+Ties go to the smaller id.  Rows that repeat an id are candidates as
 often as they occur.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +51,10 @@ PAGE = 64
 FAN_OUT = 16
 # Queries that one task takes into a tree.
 QUERY_BLOCK = 65_536
-SLACK = 1e-6
+# What rounding may add to a squared distance, as a share of the longest squared length.
+ROUNDING = 1e-13
+# Squared lengths below these are summed exactly as floats, and as 64-bit integers.
+FLOAT_EXACT, LONG_EXACT = float(1 << 53), float(1 << 62)
 # A score below all others.
 NOTHING = -(1 << 62)
 SEED = 3
@@ -52,10 +63,19 @@ SEED = 3
 def quantised(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """``vec_id, v``: integer vectors, without those that take no part."""
     x = F.col(vector)
-    whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(1e15)))
-    ints = F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("long"))
-    kept = vectors.where(x.isNotNull() & whole & (F.size(x) > 0))
-    return kept.select(F.col(vec_id).cast("long").alias("vec_id"), ints.alias("v"))
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    floored = F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("double"))
+    # Floor gives longs, so what is too large is left out before it.
+    small = F.forall(x, lambda c: F.abs(c.cast("double")) < float(1 << 31) / SCALE)
+    kept = vectors.where(x.isNotNull() & F.coalesce(finite & small, F.lit(False)) & (F.size(x) > 0))
+    square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
+    rows = kept.select(F.col(vec_id).cast("long").alias("vec_id"), floored.alias("v")).where(square < LONG_EXACT)
+    return rows.select("vec_id", F.col("v").cast("array<long>").alias("v"))
+
+
+def slack(norm: float) -> float:
+    """What rounding may add to a distance between lifted vectors of squared length ``norm``."""
+    return 1e-6 + 4 * float(np.sqrt(ROUNDING * norm))
 
 
 def _matrix(column) -> np.ndarray:
@@ -77,8 +97,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def build_pages(points: np.ndarray) -> list[tuple[int, int, np.ndarray, float, float, np.ndarray]]:
-    """(page, parent, center, radius, distance to the parent's center, entries) from the root.
+def build_pages(points: np.ndarray) -> list[tuple[int, int, np.ndarray, float, float, np.ndarray, np.ndarray]]:
+    """(page, parent, center, radius, distance to the parent's center, entries, their distances) from the root.
 
     Inner pages have no entries of their own.  Members of a page are dealt to the nearest
     of a few of them, chosen far from each other.
@@ -88,12 +108,13 @@ def build_pages(points: np.ndarray) -> list[tuple[int, int, np.ndarray, float, f
     while todo:
         members, parent, above = todo.pop()
         own = points[members]
-        center = own.mean(axis=0)
+        middle = ((own - own.mean(axis=0)) ** 2).sum(axis=1).argmin()
+        center = own[middle]
         away = np.sqrt(((own - center) ** 2).sum(axis=1))
         to_parent = float(np.sqrt(((center - above) ** 2).sum())) if above is not None else 0.0
         page = len(pages)
         leaf = len(members) <= PAGE
-        pages.append((page, parent, center, float(away.max()), to_parent, members if leaf else members[:0]))
+        pages.append((page, parent, center, float(away.max()), to_parent, members if leaf else members[:0], away if leaf else away[:0]))
         if leaf:
             continue
         chosen = [int(away.argmax())]
@@ -124,6 +145,7 @@ class Tree:
             if above >= 0:
                 self.children[above].append(page)
         self.entries = [np.array(x, np.int64).reshape(-1, self.center.shape[1] - 1) for x in table.column("vectors").to_pylist()]
+        self.away = [np.array(x, float) for x in table.column("away").to_pylist()]
         # Ids of a page's entries back to back, and the entry that each belongs to.
         ids = table.column("ids").to_pylist()
         self.ids = [np.array([i for own in page for i in own], np.int64) for page in ids]
@@ -132,12 +154,12 @@ class Tree:
     def search(self, queries: np.ndarray, own: np.ndarray, worst: np.ndarray, k: int, norm: float):
         """Per query the best scores and ids of the tree; ``worst`` are scores to reach."""
         point = np.concatenate([queries.astype(float), np.zeros((len(queries), 1))], axis=1)
-        length = (point * point).sum(axis=1)
+        length, loose = (point * point).sum(axis=1), slack(norm)
         top = np.full((len(queries), k), NOTHING), np.full((len(queries), k), -NOTHING)
 
         def reach(rows):
             """The largest distance at which a vector still reaches the score."""
-            return np.sqrt(np.maximum(length[rows] + norm - 2 * worst[rows], 0)) + SLACK
+            return np.sqrt(np.maximum(length[rows] + norm - 2.0 * worst[rows], 0)) + loose
 
         frontier: list[tuple[float, int, np.ndarray, np.ndarray]] = []
         rows = np.arange(len(queries))
@@ -150,7 +172,11 @@ class Tree:
             if not len(rows):
                 continue
             if not self.children[page]:
-                self._visit(page, queries, rows, own, worst, *top)
+                # Entries whose stored distance to the center says that they are too far are left out.
+                close = np.abs(away[:, None] - self.away[page][None]) <= reach(rows)[:, None]
+                some, entries = close.any(axis=1), np.flatnonzero(close.any(axis=0))
+                if len(entries):
+                    self._visit(page, entries, queries, rows[some], own, worst, norm, *top)
                 continue
             for child in self.children[page]:
                 # The stored distance first; only who passes has a distance computed.
@@ -165,13 +191,20 @@ class Tree:
                     heapq.heappush(frontier, (bound, child, some[ok], there[ok]))
         return top
 
-    def _visit(self, page, queries, rows, own, worst, top_scores, top_ids):
-        scores = np.rint(queries[rows].astype(float) @ self.entries[page].T.astype(float)).astype(np.int64)
+    def _visit(self, page, entries, queries, rows, own, worst, norm, top_scores, top_ids):
+        asked, vectors = queries[rows], self.entries[page][entries]
+        if norm < FLOAT_EXACT:
+            scores = np.rint(asked.astype(float) @ vectors.T.astype(float)).astype(np.int64)
+        else:
+            scores = asked.astype(np.int64) @ vectors.T
         some = (scores >= worst[rows][:, None]).any(axis=1)
-        rows, scores = rows[some], scores[some][:, self.entry_of[page]]
+        held = np.isin(self.entry_of[page], entries)
+        places = np.searchsorted(entries, self.entry_of[page][held])
+        page_ids = self.ids[page][held]
+        rows, scores = rows[some], scores[some][:, places]
         if not len(rows):
             return
-        ids = np.broadcast_to(self.ids[page], scores.shape)
+        ids = np.broadcast_to(page_ids, scores.shape)
         scores = np.where(ids == own[rows][:, None], NOTHING, scores)
         scores = np.concatenate([top_scores[rows], scores], axis=1)
         ids = np.concatenate([top_ids[rows], ids], axis=1)
@@ -215,9 +248,10 @@ def build(entries: DataFrame, norm: float) -> tuple[DataFrame, np.ndarray]:
                 "page": pa.array([p[0] for p in pages], pa.int32()),
                 "parent": pa.array([p[1] for p in pages], pa.int32()),
                 "center": pa.array([p[2].tolist() for p in pages], pa.list_(pa.float64())),
-                "radius": pa.array([p[3] + SLACK for p in pages]),
+                "radius": pa.array([p[3] + slack(norm) for p in pages]),
                 "to_parent": pa.array([p[4] for p in pages]),
                 "vectors": pa.array([v[p[5]].tolist() for p in pages], pa.list_(pa.list_(pa.int64()))),
+                "away": pa.array([p[6].tolist() for p in pages], pa.list_(pa.float64())),
                 "ids": pa.array([[ids[i] for i in p[5]] for p in pages], pa.list_(pa.list_(pa.int64()))),
             }
         )
@@ -229,7 +263,7 @@ def build(entries: DataFrame, norm: float) -> tuple[DataFrame, np.ndarray]:
 
 PAGES = (
     "tree string, page int, parent int, center array<double>, radius double, to_parent double, "
-    "vectors array<array<long>>, ids array<array<long>>"
+    "vectors array<array<long>>, away array<double>, ids array<array<long>>"
 )
 
 
@@ -272,17 +306,20 @@ def search(
     """``query_id, rank, vec_id, score``: the k highest inner products for every query.
 
     Queries and candidates are rows of (``vec_id``, ``vector``); a query's own id is no
-    candidate.  All vectors have as many components as the largest group of them; others
-    take no part.
+    candidate, and neither are vectors of another length.
     """
     ints = stored(quantised(vectors, vec_id, vector), "vectors")
     asked = quantised(queries, vec_id, vector).withColumnRenamed("vec_id", "query_id")
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    common = ints.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
-        return empty
-    ints, asked = (x.where(F.size("v") == common["d"]) for x in (ints, asked))
+    lengths = [row["d"] for row in ints.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    found = [_search(ints.where(F.size("v") == d), asked.where(F.size("v") == d), k) for d in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return reduce(DataFrame.unionAll, found)
+
+
+def _search(ints: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """:func:`search` among integer vectors of one length."""
+    spark = ints.sparkSession
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
     norm = float(ints.agg(F.max(square)).first()[0])
     same = W.partitionBy("v").orderBy("vec_id")
@@ -308,7 +345,7 @@ def search(
                 if first_only:
                     rows, trees = np.arange(len(v)), home
                 else:
-                    reach = np.sqrt(np.maximum((v * v).sum(axis=1) + norm - 2 * worst, 0)) + SLACK
+                    reach = np.sqrt(np.maximum((v * v).sum(axis=1) + norm - 2.0 * worst, 0)) + slack(norm)
                     open_ = away - radii <= reach[:, None]
                     open_[np.arange(len(v)), home] = False
                     rows, trees = np.nonzero(open_)
