@@ -31,13 +31,14 @@ def drain(df) -> None:
 def stage_runs(spark, folder) -> dict:
     """Stage name to a function that returns its result."""
 
-    def fit():
+    def fit(passes, schedule):
         side = common.target(spark, folder)
         pairs = common.stage(
             spark, folder, "cooc", lambda: stored(stages.count_pairs(side, vectors.WINDOW), "cooc")
         )
         ids = stages.vector_vocabulary(side.vocab)
-        return vectors.G.final_vectors(vectors.G.fit(pairs, ids, dims=32, passes=3))
+        params = vectors.G.fit(pairs, ids, dims=32, passes=passes, schedule=schedule)
+        return vectors.G.final_vectors(params)
 
     return {
         "prepare_corpus": lambda: common.prepared(spark, folder),
@@ -52,7 +53,8 @@ def stage_runs(spark, folder) -> dict:
         "buffered_blocks": lambda: packing.buffered_blocks(spark, folder),
         "cooccurrence_window_5": lambda: stages.count_pairs(common.target(spark, folder), vectors.WINDOW),
         "cooccurrence_window_15": lambda: stages.count_pairs(common.target(spark, folder)),
-        "fit_three_passes": fit,
+        "fit_three_passes": lambda: fit(3, "batch"),
+        "fit_strata_pass": lambda: fit(1, "strata"),
         "nearest_vanilla": lambda: alignment.nearest_vanilla(spark, folder),
         "alignment_relative": lambda: alignment.alignment_relative(spark, folder),
         "rearranged_rows": lambda: model.rearranged_rows(spark, folder),

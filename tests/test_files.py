@@ -41,6 +41,12 @@ def test_mapping_in_any_layout(spark, tmp_path):
         assert got == {(3, 4), (0, 12), (7, 0)}
 
 
+def test_last_entry_of_a_target_id_counts(spark, tmp_path):
+    (tmp_path / "twice.json").write_text('{"3": 4, "0": 1, "3": 5,\n"0": 2,\n"7": 9, "0": 8}')
+    got = {(r.tgt_id, r.src_id) for r in R.read_mapping(spark, str(tmp_path / "twice.json")).collect()}
+    assert got == {(3, 5), (0, 8), (7, 9)}
+
+
 def test_written_mapping_is_one_json_object(spark, tmp_path):
     mapping = spark.range(100).selectExpr("cast(id as int) tgt_id", "cast(99 - id as int) src_id").repartition(5)
     W.write_mapping_json(mapping, str(tmp_path / "m"))

@@ -46,7 +46,7 @@ def corpus_format(train: str | None, validation: str | None = None) -> str:
         raise ValueError("a train or a validation file is needed")
     for path in (train, validation):
         if path is not None and path.rsplit(".", 1)[-1] not in CORPUS_FORMATS:
-            raise ValueError(f"{path} should be a csv, json or txt file")
+            raise ValueError(f"no corpus reader for {path}: its ending is none of {sorted(CORPUS_FORMATS)}")
     return CORPUS_FORMATS[(train or validation).rsplit(".", 1)[-1]]
 
 
@@ -104,15 +104,19 @@ def read_vectors(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_mapping(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``tgt_id, src_id`` from a JSON object of ids, in any layout and any number of files.
 
-    Entries are found line by line, so a large object does not have to fit one row.
+    Entries are found line by line, so a large object does not have to fit one row.  Of a
+    target id given twice the last entry in file order counts.
     """
     entry = r'"(-?\d+)"\s*:\s*"?(-?\d+)"?'
     found = F.arrays_zip(
         F.regexp_extract_all("value", F.lit(entry), F.lit(1)).alias("t"),
         F.regexp_extract_all("value", F.lit(entry), F.lit(2)).alias("s"),
     )
-    rows = spark.read.text(path).select(F.inline(found))
-    return rows.select(F.col("t").cast("int").alias("tgt_id"), F.col("s").cast("int").alias("src_id"))
+    rows = _in_file_order(spark, path).select("_at", F.posexplode(found).alias("_pos", "_entry"))
+    entries = rows.select(
+        F.col("_entry.t").cast("int").alias("tgt_id"), F.col("_entry.s").cast("int").alias("src_id"), "_at", "_pos"
+    )
+    return entries.groupBy("tgt_id").agg(F.max_by("src_id", F.struct("_at", "_pos")).alias("src_id"))
 
 
 def read_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
