@@ -105,7 +105,7 @@ QUERIES = {
 }
 
 
-def _bleu_sql(weights: tuple[float, ...]) -> str:
+def bleu_sql(weights: tuple[float, ...]) -> str:
     """Sentence BLEU from ordered id lists of both sides."""
     orders = [n for n, w in enumerate(weights, 1) if n == 1 or w]
     grams = " UNION ALL ".join(
@@ -157,9 +157,9 @@ SQL = {
     "mapped_targets_joined": f"WITH {EVAL} {_PRED.format(id='coalesce(src_id, -1)')}",
     "mapped_targets_strict": f"WITH {EVAL} {_PRED.format(id='tgt_id + 1')}",
     "unmapped_ids": f"WITH {EVAL} SELECT tgt_id, count(*) AS cnt FROM occ WHERE src_id IS NULL GROUP BY tgt_id",
-    "sentence_bleu": f"WITH {EVAL},{_bleu_sql((1.0, 0, 0, 0))} SELECT sample_id, round(bleu, 6) AS bleu FROM bleu",
-    "sentence_bleu_four": f"WITH {EVAL},{_bleu_sql(BLEU4)} SELECT sample_id, round(bleu, 6) AS bleu FROM bleu",
-    "mean_bleu": f"""WITH {EVAL},{_bleu_sql((1.0, 0, 0, 0))}
+    "sentence_bleu": f"WITH {EVAL},{bleu_sql((1.0, 0, 0, 0))} SELECT sample_id, round(bleu, 6) AS bleu FROM bleu",
+    "sentence_bleu_four": f"WITH {EVAL},{bleu_sql(BLEU4)} SELECT sample_id, round(bleu, 6) AS bleu FROM bleu",
+    "mean_bleu": f"""WITH {EVAL},{bleu_sql((1.0, 0, 0, 0))}
         SELECT round(avg(bleu), 6) AS mean_bleu, count(*) AS n_samples FROM bleu""",
     "unmapped_rate": f"""WITH {EVAL} SELECT count(*) AS n_tokens, count(*) - count(src_id) AS n_unmapped,
         round((count(*) - count(src_id)) * 100.0 / greatest(count(*), 1), 6) AS percent FROM occ""",
@@ -182,7 +182,7 @@ SQL = {
     "mean_cosine": """WITH v AS (SELECT CAST(embedding AS DOUBLE[]) AS a,
           list_reverse(CAST(embedding AS DOUBLE[])) AS b FROM embeddings)
         SELECT round(avg(list_cosine_similarity(a, b)), 6) AS mean_cosine, count(*) AS n_samples FROM v""",
-    "overlap_score": f"""WITH {EVAL},{_bleu_sql((1.0, 0, 0, 0))}
+    "overlap_score": f"""WITH {EVAL},{bleu_sql((1.0, 0, 0, 0))}
         SELECT round(avg(bleu), 6) AS mean_bleu, count(*) AS n_samples,
           (SELECT count(*) FROM occ) AS n_tokens,
           (SELECT count(*) - count(src_id) FROM occ) AS n_unmapped,

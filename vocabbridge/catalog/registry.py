@@ -7,13 +7,14 @@ from vocabbridge.catalog import (
     corpus,
     evaluation,
     files,
+    journey,
     model,
     packing,
     tokens,
     vectors,
 )
 
-MODULES = [corpus, tokens, packing, vectors, alignment, evaluation, model, files]
+MODULES = [corpus, tokens, packing, vectors, alignment, evaluation, model, journey, files]
 
 
 def all_queries() -> dict:
