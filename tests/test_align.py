@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -132,3 +134,28 @@ def test_short_blocks_are_left_out(spark, few_partitions, k):
     )
     opened = A.open_blocks(left, right, found, k).collect()
     assert len(opened) == 10 and sum(r._blocks for r in opened) < 0.7 * 10 * 15
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(seed=st.integers(0, 1000), k=st.integers(1, 4), group=st.sampled_from([6, 12, 24]))
+def test_groups_of_blocks_find_the_same(spark, monkeypatch, seed, k, group):
+    monkeypatch.setattr(A, "_group_rows", lambda *_: group)
+    monkeypatch.setattr(A, "_STEP_ROWS", 5)
+    monkeypatch.setattr(A, "_STEP_SOURCES", 7)
+    draw = np.random.default_rng(seed)
+    sides = [draw.integers(-2, 3, (n, 3)) * draw.integers(1, 4, (n, 1)) + 0.0 for n in (40, 37)]
+    target, source = (
+        spark.createDataFrame([(n, 100 - n, v.tolist()) for n, v in enumerate(side)], "id int, ord bigint, vector array<double>")
+        for side in sides
+    )
+    got = [(r.tgt_id, r.src_id) for r in A.nearest(target, source, k, block_rows=6).orderBy("tgt_id", "rank").collect()]
+    scores = sides[0] @ sides[1].T
+    want = [(t, s) for t in range(40) for s in sorted(range(37), key=lambda s: (-scores[t, s], -s))[:k]]
+    assert got == want
+
+
+def test_rows_are_sent_once_per_group(spark):
+    rows = spark.range(30_000).select(F.col("id").cast("int"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    groups = -(-30_000 // A._group_rows(rows, rows, 200))
+    cores = max(8, spark.sparkContext.defaultParallelism)
+    assert groups <= math.ceil(math.sqrt(4 * cores)) + 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,10 @@ PIVOTS = 300
 UNKNOWN_TOKENS = ["unk", "<unk>"]
 # Rows per block in the all-pairs search.
 BLOCK_ROWS = 4096
+# Bytes of the vectors of a group of blocks, and rows of both sides in one matrix product.
+GROUP_BYTES = 64 << 20
+_STEP_ROWS = 512
+_STEP_SOURCES = 4096
 # Scores are compared at this many decimals, so that equal vectors tie exactly and
 # the block a row falls in cannot decide; the first source row then wins.
 SCORE_DECIMALS = 12
@@ -123,51 +129,91 @@ def _relative_in_blocks(vectors: DataFrame, chosen: DataFrame, block_rows: int)
 
 
 _LOCAL = "tgt_id int, src_id int, ord bigint, score double"
+_BEST_TYPES = {"tgt_id": np.int32, "src_id": np.int32, "ord": np.int64, "score": np.float64}
 # What rounding may add to a score or to a product of lengths.
 _ROUNDING = 1e-9
 
 
 def _best_of_blocks(k: int):
-    """The ``k`` best source rows of a block for each target row of a block."""
+    """The ``k`` best source rows of a group for each target row of a group.
+
+    Products are taken a step of rows of both sides at a time.  What a target row has found
+    so far is a floor, and only scores that reach it are looked at again.  Target rows may
+    have a ``_limit``: source rows from that ``_place`` on have nothing for them.
+    """
 
     def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"tgt_id": [], "src_id": [], "ord": [], "score": []}
+        out = {name: [] for name in _BEST_TYPES}
         if left.num_rows and right.num_rows:
-            place = np.argsort(right.column("ord").to_numpy(), kind="stable")
-            src = right.column("id").to_numpy()[place]
-            order = right.column("ord").to_numpy()[place]
-            s = np.ascontiguousarray(as_matrix(right.column("vector"), 0)[place].T)
-            t = as_matrix(left.column("vector"), 0)
-            ids = left.column("id").to_numpy()
-            take = min(k, len(src))
-            for at in range(0, len(t), 512):
-                score = np.round(t[at : at + 512] @ s, SCORE_DECIMALS)
-                if take == 1:
-                    top = score.argmax(axis=1)[:, None]
-                else:
-                    top = np.argsort(-score, axis=1, kind="stable")[:, :take]
-                out["tgt_id"].append(np.repeat(ids[at : at + 512], take))
-                out["src_id"].append(src[top].ravel())
-                out["ord"].append(order[top].ravel())
-                out["score"].append(np.take_along_axis(score, top, axis=1).ravel())
-        types = {"tgt_id": np.int32, "src_id": np.int32, "ord": np.int64, "score": np.float64}
+            limited = "_limit" in left.column_names
+            place = right.column("_place" if limited else "ord").to_numpy()
+            order = np.argsort(place, kind="stable")
+            place, src, ords = place[order], right.column("id").to_numpy()[order], right.column("ord").to_numpy()[order]
+            s = np.ascontiguousarray(as_matrix(right.column("vector"), 0)[order])
+            t, ids = as_matrix(left.column("vector"), 0), left.column("id").to_numpy()
+            if limited:
+                limit = left.column("_limit").to_numpy()
+                order = np.argsort(-limit, kind="stable")
+                t, ids = t[order], ids[order]
+                ends = np.searchsorted(place, limit[order])
+            else:
+                ends = np.full(len(ids), len(src))
+            for at in range(0, len(t), _STEP_ROWS):
+                part, end = t[at : at + _STEP_ROWS], ends[at]
+                row, found, score = _best_of_step(part, s[:end], ords, k)
+                out["tgt_id"].append(ids[at + row])
+                out["src_id"].append(src[found])
+                out["ord"].append(ords[found])
+                out["score"].append(score)
         return pa.table(
-            {
-                name: pa.array(np.concatenate(out[name]) if out[name] else np.array([]), pa.from_numpy_dtype(t))
-                if not out[name]
-                else pa.array(np.concatenate(out[name]).astype(t))
-                for name, t in types.items()
-            }
+            {name: pa.array(np.concatenate([*out[name], np.array([], t)]).astype(t)) for name, t in _BEST_TYPES.items()}
         )
 
     return best
 
 
+def _best_of_step(part: np.ndarray, s: np.ndarray, ords: np.ndarray, k: int):
+    """Row of ``part``, row of ``s`` and score of the ``k`` best of each row; ties to the lower ``ord``."""
+    row, col, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor = np.full(len(part), -np.inf)
+    for begin in range(0, len(s), _STEP_SOURCES):
+        raw = part @ s[begin : begin + _STEP_SOURCES].T
+        if begin == 0 and raw.shape[1] > k:
+            kth = np.partition(raw, -k, axis=1)[:, -k]
+            floor = np.where(np.isnan(kth), np.inf, kth)
+        # Not below, with the margin of a rounding; scores that are no numbers count as the largest.
+        r, c = np.nonzero(~(raw < (floor - 10.0**-SCORE_DECIMALS)[:, None]))
+        row, col = np.concatenate([row, r]), np.concatenate([col, c + begin])
+        score = np.concatenate([score, np.round(raw[r, c], SCORE_DECIMALS)])
+        size = np.where(np.isnan(score), np.inf, score)
+        order = np.lexsort((ords[col], -size, row))
+        row, col, score, size = row[order], col[order], score[order], size[order]
+        first = np.searchsorted(row, row)
+        kept = np.arange(len(row)) - first < k
+        row, col, score, size = row[kept], col[kept], score[kept], size[kept]
+        last = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+        floor[row[last]] = size[last]
+    return row, col, score
+
+
+def _group_rows(target: DataFrame, source: DataFrame, block_rows: int) -> int:
+    """Rows of the groups that meet in one task, a multiple of ``block_rows``.
+
+    A row is sent once per group of the other side.  There are just enough groups for all
+    cores, and more only where a group would outgrow ``GROUP_BYTES``.
+    """
+    sizes = [side.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first() for side in (target, source)]
+    rows, dims = max(n for n, _ in sizes), max(d or 1 for _, d in sizes)
+    side = math.ceil(math.sqrt(4 * max(8, target.sparkSession.sparkContext.defaultParallelism)))
+    most = min(-(-rows // side), GROUP_BYTES // (8 * max(1, dims)))
+    return max(1, most // block_rows) * block_rows
+
+
 def _by_length(vectors: DataFrame, block_rows: int) -> DataFrame:
     """The vectors with their length, in blocks from the longest to the shortest."""
     measured = vectors.withColumn("_norm", norm(F.col("vector")))
     numbered = with_row_index(measured, F.desc("_norm"), F.asc("id"), name="_place")
-    return numbered.withColumn("_block", F.floor(F.col("_place") / block_rows).cast("int")).drop("_place")
+    return numbered.withColumn("_block", F.floor(F.col("_place") / block_rows).cast("int"))
 
 
 def open_blocks(target: DataFrame, source: DataFrame, found: DataFrame, k: int) -> DataFrame:
@@ -194,26 +240,37 @@ def open_blocks(target: DataFrame, source: DataFrame, found: DataFrame, k: int)
     return target.sparkSession.createDataFrame(rows, "_lb int, _blocks int")
 
 
-def _pruned(target: DataFrame, source: DataFrame, k: int, block_rows: int, best) -> DataFrame:
+def _pruned(target: DataFrame, source: DataFrame, k: int, block_rows: int, group_rows: int, best) -> DataFrame:
     """The best of all block pairs that can hold one of the ``k`` best scores.
 
     All target blocks meet the longest source vectors first.  What they find there bounds
-    the rest.
+    the rest.  Consecutive blocks travel in groups, so that a row is sent once per group
+    of the other side, and a target row in a group meets only the blocks it has to.
     """
     left, right = _by_length(target, block_rows), _by_length(source, block_rows)
-
-    def met(pairs: DataFrame) -> DataFrame:
-        of_left = pairs.select(F.col("_lb").alias("_l1"), F.col("_rb").alias("_r1"))
-        of_right = pairs.select(F.col("_lb").alias("_l2"), F.col("_rb").alias("_r2"))
-        l_rows = left.join(of_left, F.col("_block") == F.col("_l1")).select("_l1", "_r1", "id", "vector")
-        r_rows = right.join(of_right, F.col("_block") == F.col("_r2")).select("_l2", "_r2", "id", "ord", "vector")
-        return l_rows.groupBy("_l1", "_r1").cogroup(r_rows.groupBy("_l2", "_r2")).applyInArrow(best, _LOCAL)
-
-    blocks = left.select(F.col("_block").alias("_lb")).distinct()
-    first = stored(met(blocks.withColumn("_rb", F.lit(0))), "first-scores")
+    per = group_rows // block_rows
+    left = left.withColumn("_lg", F.floor(F.col("_block") / per).cast("int"))
+    right = right.withColumn("_rg", F.floor(F.col("_block") / per).cast("int"))
+
+    def met(l_rows: DataFrame, r_rows: DataFrame) -> DataFrame:
+        l_rows = l_rows.select("_lg", "_rg", "id", "vector", "_limit")
+        r_rows = r_rows.select(F.col("_lg").alias("_l2"), F.col("_rg").alias("_r2"), "id", "ord", "vector", "_place")
+        return l_rows.groupBy("_lg", "_rg").cogroup(r_rows.groupBy("_l2", "_r2")).applyInArrow(best, _LOCAL)
+
+    groups = left.select("_lg").distinct()
+    longest = right.where(F.col("_block") == 0).join(F.broadcast(groups))
+    every = left.withColumns({"_rg": F.lit(0), "_limit": F.lit(block_rows).cast("bigint")})
+    first = stored(met(every, longest), "first-scores")
     further = open_blocks(left, right, first, k).where("_blocks > 1")
-    pairs = further.select("_lb", F.explode(F.sequence(F.lit(1), F.col("_blocks") - 1)).alias("_rb"))
-    return first.unionAll(met(pairs))
+    # One row per target block and one per target group.
+    bounds = further.select(F.col("_lb").alias("_block"), "_blocks", (F.col("_blocks").cast("bigint") * block_rows).alias("_limit"))
+    l_rows = left.join(F.broadcast(bounds), "_block").withColumn(
+        "_rg", F.explode(F.sequence(F.lit(0), F.floor((F.col("_blocks") - 1) / per).cast("int")))
+    )
+    deepest = further.groupBy(F.floor(F.col("_lb") / per).cast("int").alias("_lg")).agg(F.max("_blocks").alias("_deepest"))
+    rest = right.where(F.col("_block") > 0)
+    r_rows = rest.join(F.broadcast(deepest), F.col("_block") < F.col("_deepest"))
+    return first.unionAll(met(l_rows, r_rows))
 
 
 def nearest(
@@ -225,8 +282,8 @@ def nearest(
 ) -> DataFrame:
     """``tgt_id, src_id, score, rank``: the ``k`` best source rows for each target row.
 
-    A target block meets a source block in one matrix product, and only the ``k`` best per
-    target row leave the task.  Equal scores go to the lower ``ord``.  For inner products
+    Groups of target and of source blocks meet in a task, a step of rows in one matrix
+    product, and only the ``k`` best per target row leave the task.  Equal scores go to the lower ``ord``.  For inner products
     blocks are cut by length, and block pairs that cannot hold a better score are left out
     (:func:`open_blocks`); cosines leave nothing to bound, so all pairs meet.
     """
@@ -239,16 +296,16 @@ def nearest(
         )
 
     target, source = target.select("id", "vector"), source.select("id", "ord", "vector")
-    best = _best_of_blocks(k)
+    best, group_rows = _best_of_blocks(k), _group_rows(target, source, block_rows)
     if metric == "cosine" or blocks_for(source, block_rows) == 1:
-        local = pair_blocks(target, source, "id", "id", block_rows).applyInArrow(best, _LOCAL)
+        local = pair_blocks(target, source, "id", "id", group_rows).applyInArrow(best, _LOCAL)
     else:
-        local = _pruned(target, source, k, block_rows, best)
+        local = _pruned(target, source, k, block_rows, group_rows, best)
     if k == 1:
         winner = F.max_by(F.struct("src_id", "score"), F.struct("score", (-F.col("ord")).alias("o")))
         found = local.groupBy("tgt_id").agg(winner.alias("_best"))
         return found.select("tgt_id", "_best.src_id", "_best.score", F.lit(1).alias("rank"))
-    # k rows per source block and target row, a bounded window.
+    # k rows per source group and target row, a bounded window.
     ranked = W.partitionBy("tgt_id").orderBy(F.desc("score"), "ord")
     return (
         local.withColumn("rank", F.row_number().over(ranked))
