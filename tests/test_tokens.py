@@ -9,6 +9,7 @@ from vocabbridge.functions.text import WORDS, WORDS_AND_MARKS, cut_pattern, word
 from vocabbridge.operators import export as X
 from vocabbridge.operators import tokenise as K
 from vocabbridge.operators import vocabulary as V
+from vocabbridge.operators import lookup
 from vocabbridge.operators.lookup import lookup_ids, lookup_join, lookup_values, table_bytes
 
 
@@ -224,3 +225,28 @@ def test_split_names():
     assert X.split_name("train") == "train"
     with pytest.raises(ValueError):
         X.split_name("dev")
+
+
+def test_large_lookup_sends_rows_once(spark):
+    words = [f"w{n}" for n in range(400)]
+    df = spark.createDataFrame([(n, " ".join(words[n : n + 50])) for n in range(300)], "row_idx long, text string")
+    vocab = spark.createDataFrame([(w, n) for n, w in enumerate(words)], "token string, token_id int")
+    found = lookup_values(df, F.split("text", " "), vocab, "ids", limit_bytes=0, drop=("text",), bucket_items=1000)
+    rows = found.orderBy("row_idx").collect()
+    assert [r.ids for r in rows] == [list(range(n, min(n + 50, 400))) for n in range(300)]
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # The second use of the rows reads the shuffle of the first.
+    assert "ReusedExchange" in plan
+
+
+def test_common_keys_are_bounded(spark, monkeypatch):
+    vocab = spark.createDataFrame([(f"w{n}", n) for n in range(40)], "token string, token_id int")
+    assert sorted(r._value for r in lookup.common_keys(vocab).collect()) == list(range(10))
+    monkeypatch.setattr(lookup, "COMMON_KEYS", 4)
+    assert sorted(r._value for r in lookup.common_keys(vocab).collect()) == [0, 1, 2, 3]
+    by_key = vocab.select("token_id", "token")
+    assert sorted(r._key for r in lookup.common_keys(by_key).collect()) == [0, 1, 2, 3]
+    shared = spark.range(40).select("id", F.lit(0).alias("v"))
+    assert lookup.common_keys(shared) is None
+    assert lookup.common_keys(vocab.select("token", F.col("token").alias("t"))) is None
