@@ -250,3 +250,16 @@ def test_common_keys_are_bounded(spark, monkeypatch):
     shared = spark.range(40).select("id", F.lit(0).alias("v"))
     assert lookup.common_keys(shared) is None
     assert lookup.common_keys(vocab.select("token", F.col("token").alias("t"))) is None
+
+
+def test_library_gets_texts_in_bounded_parts(spark):
+    def load():
+        def encode(texts):
+            assert len(texts) == 1 or sum(map(len, texts)) <= K.ENCODED_CHARS
+            return [[len(t)] for t in texts]
+
+        return encode
+
+    df = spark.range(40).select("id", F.repeat(F.lit("x"), F.lit(20_000)).alias("text")).coalesce(1)
+    assert {r.ids[0] for r in df.select(K.library_tokeniser(load)("text").alias("ids")).collect()} == {20_000}
+    assert [len(p) for p in K._parts(["aaa", "b", "cc", "ddddd"], 4)] == [2, 1, 1]
