@@ -66,7 +66,7 @@ def fit_loss(spark, folder):
     ids = _ids(spark, folder)
     params = stored(G.initial_parameters(ids, DIMS), "parameters")
     cooc = _cooc(spark, folder)
-    partial = G.gradients(G.blocked(cooc, 3, cooc.count()), params, 3)
+    partial = G.gradients(G.blocked(cooc, 3), params, 3)
     return G.loss(partial).select(F.round("loss", 3).alias("loss"))
 
 
