@@ -263,3 +263,33 @@ def test_library_gets_texts_in_bounded_parts(spark):
     df = spark.range(40).select("id", F.repeat(F.lit("x"), F.lit(20_000)).alias("text")).coalesce(1)
     assert {r.ids[0] for r in df.select(K.library_tokeniser(load)("text").alias("ids")).collect()} == {20_000}
     assert [len(p) for p in K._parts(["aaa", "b", "cc", "ddddd"], 4)] == [2, 1, 1]
+
+
+def test_items_are_not_computed_to_size_buckets(spark):
+    from vocabbridge.operators import lookup
+
+    df = spark.createDataFrame([(n, "a b " * n) for n in range(50)], "row_idx int, text string")
+    failing = df.withColumn("_items", F.when(F.raise_error(F.lit("computed")).isNull(), F.split("text", " ")))
+    assert lookup._item_count(df, failing) == -(-sum(4 * n + 24 for n in range(50)) // lookup.ITEM_BYTES)
+    nested = df.select("row_idx", F.struct("text").alias("of"))
+    assert lookup._item_count(nested, df.withColumn("_items", F.split("text", " "))) == sum(2 * n + 1 for n in range(50))
+
+
+def test_many_branches_are_halved():
+    import re
+
+    from vocabbridge.functions.text import cut_pattern
+
+    tokens = [a + b + c for a in "abcdefgh-]^\\é" for b in "xyz&[" for c in ("", "q", "r-", "r]", "s")]
+    pattern = cut_pattern(tokens)
+    text = " ".join(tokens) + "axr-axraqb^xr]]xs" + "zz"
+    by_length = re.compile("|".join(re.escape(t) for t in sorted(tokens, key=len, reverse=True)))
+    assert re.findall(pattern, text) == by_length.findall(text)
+    # No node tries more than a few branches in turn.
+    assert max(part.count("|") for part in re.findall(r"\(\?:[^()]*\)", pattern)) < 4 and "(?=[" in pattern
+
+
+def test_stored_tables_are_packed_well(spark):
+    from vocabbridge.storage import stored
+
+    assert all(".zstd." in name for name in stored(spark.range(9)).inputFiles())
