@@ -290,6 +290,8 @@ def test_many_branches_are_halved():
 
 
 def test_stored_tables_are_packed_well(spark):
-    from vocabbridge.storage import stored
+    from vocabbridge.plans import stages
 
-    assert all(".zstd." in name for name in stored(spark.range(9)).inputFiles())
+    prepared = stages.prepare(spark.createDataFrame([(n, f"some words {n} " * 9) for n in range(40)], "doc_id long, text string"))
+    for table in (prepared, stages.tokenise_source(prepared).rows):
+        assert table.inputFiles() and all(".zstd." in name for name in table.inputFiles())

@@ -8,7 +8,7 @@ from vocabbridge.catalog.common import CORPUS, SRC, TGT, plain, prepared, source
 from vocabbridge.functions.sequences import ids_to_line
 from vocabbridge.operators import packing as P
 from vocabbridge.plans import stages
-from vocabbridge.storage import stored
+from vocabbridge.storage import SMALL, stored
 from vocabbridge.streaming import feed as S
 
 BLOCK = 128
@@ -36,7 +36,7 @@ def _tokens_with_length(spark, folder):
     def build():
         chars = prepared(spark, folder).select("row_idx", F.length("text").cast("bigint").alias("n_chars"))
         tokens = source(spark, folder).rows.select("row_idx", "input_ids")
-        return stored(tokens.join(chars, "row_idx"), "lengths")
+        return stored(tokens.join(chars, "row_idx"), "lengths", compression=SMALL)
 
     return stage(spark, folder, "lengths", build)
 

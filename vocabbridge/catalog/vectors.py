@@ -11,7 +11,7 @@ from vocabbridge.functions.vectors import l2_normalise
 from vocabbridge.operators import cooccur as C
 from vocabbridge.operators import glove as G
 from vocabbridge.plans import stages
-from vocabbridge.storage import stored
+from vocabbridge.storage import SMALL, stored
 
 WINDOW = 5
 DIMS = 4
@@ -26,7 +26,7 @@ def _train(side):
 def _cooc(spark, folder):
     return stage(
         spark, folder, "cooc",
-        lambda: stored(stages.count_pairs(target(spark, folder), WINDOW), "cooc"),
+        lambda: stored(stages.count_pairs(target(spark, folder), WINDOW), "cooc", compression=SMALL),
     )
 
 
