@@ -11,7 +11,7 @@ from vocabbridge.functions.vectors import l2_normalise
 from vocabbridge.operators import cooccur as C
 from vocabbridge.operators import glove as G
 from vocabbridge.plans import stages
-from vocabbridge.storage import SMALL, stored
+from vocabbridge.storage import stored
 
 WINDOW = 5
 DIMS = 4
@@ -26,7 +26,7 @@ def _train(side):
 def _cooc(spark, folder):
     return stage(
         spark, folder, "cooc",
-        lambda: stored(stages.count_pairs(target(spark, folder), WINDOW), "cooc", compression=SMALL),
+        lambda: stored(stages.count_packed(target(spark, folder), WINDOW), "cooc"),
     )
 
 
@@ -53,7 +53,7 @@ def cooccurrence_raw_distance(spark, folder):
 
 def cooccurrence_totals(spark, folder):
     """Totals at the full window, the weight at three decimals: a sum of millions of terms."""
-    totals = C.matrix_totals(stages.count_pairs(source(spark, folder), C.WINDOW))
+    totals = C.matrix_totals(stages.count_packed(source(spark, folder), C.WINDOW))
     return totals.select("n_pairs", F.round("weight", 3).alias("weight"))
 
 
@@ -66,7 +66,8 @@ def fit_loss(spark, folder):
     ids = _ids(spark, folder)
     params = stored(G.initial_parameters(ids, DIMS), "parameters")
     cooc = _cooc(spark, folder)
-    partial = G.gradients(G.blocked(cooc, 3), params, 3)
+    blocks = G.split_count(1, ids.count(), C.pair_count(cooc), DIMS, spark.sparkContext.defaultParallelism)
+    partial = G.gradients(G.blocked(cooc, blocks), params, blocks)
     return G.loss(partial).select(F.round("loss", 3).alias("loss"))
 
 
@@ -86,7 +87,8 @@ def _fitted(spark, folder):
     def build():
         losses = []
         params = G.fit(
-            _cooc(spark, folder), _ids(spark, folder), DIMS, PASSES, rate=RATE, min_blocks=BLOCKS, block_pairs=1 << 40,
+            _cooc(spark, folder), _ids(spark, folder), DIMS, PASSES, rate=RATE, min_blocks=BLOCKS,
+            block_ids=1 << 40, block_pairs=1 << 40,
             on_pass=lambda number, p: losses.append((number, p.agg(F.sum("loss")).first()[0])),
         )
         return params, losses
