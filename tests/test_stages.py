@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from vocabbridge.operators import evaluate
+from vocabbridge.catalog import common, journey
+from vocabbridge.operators import align, evaluate
 from vocabbridge.plans import stages
 
 
@@ -83,3 +84,31 @@ def test_extended_vocabulary_in_a_stage(spark):
     # Each begin "w0" is cut out first, so no "01 w" is left to be found.
     assert "01 w" in text and got.count(ids["01 w"]) == 0
     assert got.count(ids["w0"]) == sum(w.startswith("w0") for w in text.split()) > 0
+
+
+def test_tokens_seen_five_times_get_a_vector(spark, few_partitions, tmp_path):
+    words = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"]
+    texts = [" ".join(words[(n * k) % 12] for k in range(14)) + (" zeta.7 end" if n % 4 == 0 else "") for n in range(1, 41)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = journey.fitted_alignment(spark, str(tmp_path)).collect()
+    vocab = {r.token: r for r in common.target(spark, str(tmp_path)).vocab.collect()}
+    assert vocab["zeta"].cnt == 10
+    origin = {r.tgt_id: r.origin for r in rows}
+    assert len(origin) == len(rows) == len(vocab)
+    assert origin[vocab["zeta"].token_id] == "vector" and origin[vocab["two"].token_id] == "gold"
+    assert (journey.WINDOW, journey.MIN_COUNT, journey.PASSES) == (15, 5, 15)
+
+
+def test_nearest_is_asked_only_where_no_gold_pair_wins(spark, monkeypatch):
+    vectors = spark.createDataFrame([(str(n), n, [1.0, float(n)]) for n in range(4)], "token string, ord bigint, vector array<double>")
+    gold = spark.createDataFrame([(0, 3), (1, None), (2, 1), (2, None)], "tgt_id int, src_id int")
+    asked, nearest = [], align.nearest
+    monkeypatch.setattr(align, "nearest", lambda t, s, **o: (asked.extend(r.id for r in t.collect()), nearest(t, s, **o))[1])
+    got = stages.align_vocabularies(gold, vectors, vectors, 5, 4, relative=False).collect()
+    assert sorted(asked) == [1, 2, 3]
+    rows = sorted((r.tgt_id, r.src_id, r.origin) for r in got)
+    assert rows[:5] == [(0, 3, "gold"), (1, 1, "vector"), (2, 1, "gold"), (2, 2, "vector"), (3, 3, "vector")]
+    assert len(rows) == 6 and rows[5][2] == "random"
+    every = gold.where("src_id IS NOT NULL").unionAll(spark.createDataFrame([(1, 0), (3, 0)], gold.schema))
+    assert {r.origin for r in stages.align_vocabularies(every, vectors, vectors, 4, 4, relative=False).collect()} == {"gold"}
